@@ -14,8 +14,8 @@ from ..functions.runtime import Scratch, filled, lookup
 class Forest:
     """What the frontier joins leave behind, all of it written tables.
 
-    edges: (node, up, n), one row a node; n is its number of children, null for a leaf.
-    parents: (up, n), one row a parent. inner: (node, root, path, depth) of the nodes that have children; path is an array from the root
+    edges: (node, up, n), one row a node; n is its number of child rows, null for a leaf.
+    parents: (up, n), one row a parent. n_edges: the child rows in all. inner: (node, root, path, depth) of the nodes that have children; path is an array from the root
     down to the node. depth is -1 on a loop and -2 below one, with an empty path.
     """
 
@@ -25,12 +25,18 @@ class Forest:
     n_edges: int
 
 
-def _step(open_: DataFrame, table: DataFrame) -> DataFrame:
-    """Every open node takes over where its jump target points to."""
+def _step(open_: DataFrame, table: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Every open node takes over where its jump target points to; also gives the targets, for the next step."""
     total = open_.count()
     width = open_.groupBy("jump").agg(F.count(F.lit(1)).alias("n"))
-    target = table.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("seg").alias("seg2"), F.col("done").alias("done2"))
-    return lookup(open_, width.join(target, "jump"), "jump", "n", total).select("node", F.col("jump2").alias("jump"), F.concat("seg2", "seg").alias("seg"), F.col("done2").alias("done"))
+    target = scratch.write(width.join(table.withColumnsRenamed({"jump": "jump2", "node": "jump"}), "jump"), "targets")
+    to = target.select("jump", "jump2", F.col("seg").alias("seg2"), F.col("done").alias("done2"), "n")
+    new = lookup(open_, to, "jump", "n", total).select("node", F.col("jump2").alias("jump"), F.concat("seg2", "seg").alias("seg"), F.col("done2").alias("done"))
+    return scratch.write(new, "state"), target
+
+
+def _table(jump_first: DataFrame) -> DataFrame:
+    return jump_first.select(F.col("jump").alias("node"), F.col("jump2").alias("jump"), "seg", "done")
 
 
 def grow(rows: DataFrame, child: str, parent: str) -> Forest:
@@ -39,7 +45,8 @@ def grow(rows: DataFrame, child: str, parent: str) -> Forest:
     Leaves, most of all nodes, wait outside and take their parent's path once at the end. A round's frontier is all nodes
     whose path upward first meets a finished node; nodes still unreached meanwhile point twice as far up as the round before,
     so a round extends the frontier over a band of levels (1, 1, 2, 4, ... of them) and chains of any length take
-    logarithmically many rounds. A round that reaches nobody shows that whatever is left runs into a loop; those on it are what
+    logarithmically many rounds. Of the finished nodes a round keeps only those that were pointed to and those it finished: no
+    other can be pointed to later. A round that reaches nobody shows that whatever is left runs into a loop; those on it are what
     is still pointed to once pointing farther no longer shrinks the set.
 
     Rows with a null or empty child or parent are left out. Repeated rows count once; a child with several parents keeps the
@@ -48,59 +55,44 @@ def grow(rows: DataFrame, child: str, parent: str) -> Forest:
     spark = rows.sparkSession
     scratch = Scratch(spark, "forest")
     valid = rows.select(F.col(child).alias("node"), F.col(parent).alias("up")).filter(filled("node") & filled("up"))
+    parents = scratch.write(valid.groupBy("up").agg(F.count(F.lit(1)).alias("n")), "parents")
+    n_edges = parents.agg(F.sum("n")).first()[0] or 0
     single = valid.groupBy("node").agg(F.min("up").alias("up"))
-    edges = scratch.write(single, "single")
-    parents = scratch.write(edges.groupBy("up").agg(F.count(F.lit(1)).alias("n")), "parents")
-    flagged = scratch.write(edges.join(parents.select(F.col("up").alias("node"), "n"), "node", "left"), "edges")
-    scratch.drop(edges)
-    edges = flagged
-    n_edges = edges.count()
+    edges = scratch.write(single.join(parents.select(F.col("up").alias("node"), "n"), "node", "left"), "edges")
 
     inner = edges.filter("n is not null").select("node", "up")
-    below_root = inner.select(F.col("up")).distinct().join(inner.select(F.col("node").alias("up")), "up", "left_anti")
+    below_root = inner.select("up").distinct().join(inner.select(F.col("node").alias("up")), "up", "left_anti")
     root_flag = below_root.select("up", F.lit(True).alias("done"))
     state = scratch.write(
         inner.join(root_flag, "up", "left").select("node", F.col("up").alias("jump"), F.array("node").alias("seg"), F.coalesce("done", F.lit(False)).alias("done")), "state"
     )
-    finished, open_ = [state.filter("done")], state.filter("not done")
-    opened = None
-    while True:
-        if open_.isEmpty():
-            break
-        table = open_
-        for f in finished:
-            table = table.unionByName(f)
-        new = scratch.write(_step(open_, table), "state")
+    finished, open_, table = [state.filter("done")], state.filter("not done"), state
+    left = not open_.isEmpty()
+    while left:
+        new, targets = _step(open_, table, scratch)
+        open_ = new.filter("not done")
         if new.filter("done").isEmpty():
-            if opened is not None:
-                scratch.drop(opened)
-            opened, open_ = new, new
             break
         finished.append(new.filter("done"))
-        open_ = new.filter("not done")
-    reached = None
+        table = new.unionByName(_table(targets.filter("done")))
+        left = not open_.isEmpty()
+    result = None
     for f in finished:
-        reached = f if reached is None else reached.unionByName(f)
-    result = reached.select(
-        "node", F.col("jump").alias("root"), F.concat(F.array("jump"), "seg").alias("path"), F.size("seg").alias("depth")
-    )
-    if opened is not None:
-        open_ = open_.select("node", "jump", F.array().cast("array<string>").alias("seg"), "done")
+        part = f.select("node", F.col("jump").alias("root"), F.concat(F.array("jump"), "seg").alias("path"), F.size("seg").alias("depth"))
+        result = part if result is None else result.unionByName(part)
+    if left:
+        nothing = F.array().cast("array<string>")
+        open_ = open_.select("node", "jump", nothing.alias("seg"), "done")
         wide = open_.select("jump").distinct().count()
         while True:
-            new = scratch.write(_step(open_, open_), "loops")
-            narrow = new.select("jump").distinct().count()
-            open_ = new
+            open_, _ = _step(open_, open_, scratch)
+            narrow = open_.select("jump").distinct().count()
             if narrow == wide:
                 break
             wide = narrow
         on = open_.select(F.col("jump").alias("node")).distinct().withColumn("on", F.lit(True))
         loops = open_.select("node").join(on, "node", "left")
-        result = result.unionByName(
-            loops.select(
-                "node", F.lit("").alias("root"), F.array().cast("array<string>").alias("path"), F.when(F.col("on"), -1).otherwise(-2).alias("depth")
-            )
-        )
+        result = result.unionByName(loops.select("node", F.lit("").alias("root"), nothing.alias("path"), F.when(F.col("on"), -1).otherwise(-2).alias("depth")))
     return Forest(edges, parents, scratch.write(result, "inner"), n_edges)
 
 
@@ -160,4 +152,4 @@ def descendant_counts(rows: DataFrame, child: str, parent: str) -> DataFrame:
         (F.col("leaves") + F.when(F.col("at") < F.col("size") - 1, 1).otherwise(0)).alias("n"),
         (F.col("size") - 1 - F.col("at") + F.when(F.col("leaves") > 0, 1).otherwise(0)).alias("height"),
     )
-    return pairs.groupBy("ancestor").agg(F.sum("n").alias("n_descendants"), F.max("height").alias("height"))
+    return pairs.groupBy("ancestor").agg(F.sum("n").alias("n_descendants"), F.max("height").alias("height")).filter("n_descendants > 0")
