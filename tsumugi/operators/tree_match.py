@@ -1,0 +1,279 @@
+"""Matching and annotating trees of any depth, a sentence at a time on Arrow batches.
+
+The lexicon comes to the sentence through joins: for every sentence the members, hypernyms and antonyms that its words can lead to are collected
+into its row, so no table is broadcast and a sentence is worked on where it lies.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.config import ANTONYM, HYPERNYM, PENALTY, SYNONYM, MatchOptions, NodeOptions
+from ..functions.runtime import Scratch, ship
+
+#: Features that are compared; those a node doesn't have count as false.
+COMPARED = ("fuzoku", "case", "kanou", "sonnkei", "ukemi", "shieki", "negation")
+
+
+@dataclass
+class Node:
+    id: str
+    score: float = 1.0
+    weight: float = 1.0
+    children: tuple[int, ...] = ()
+    covers: frozenset[int] = frozenset()  # besides its own phrase
+    relation: bool = False
+    antonym: bool = False
+    hypo_num: int | None = None
+    traits: dict = field(default_factory=dict)
+
+    def trait(self, name: str):
+        return self.traits.get(name) or None
+
+    def key(self) -> tuple:
+        return self.id, self.weight, *(bool(self.trait(f)) for f in COMPARED[2:])
+
+
+@dataclass
+class Pair:
+    """Two nodes that stand for each other."""
+
+    at: int  # phrase in the first tree
+    one: Node
+    two: Node
+    score: float
+    differ: tuple[str, ...]
+
+
+Tree = list[list[Node]]  # nodes by phrase; the last phrase is the head
+
+
+def chain(words: list[str]) -> Tree:
+    return [[Node(w, children=(k - 1,) if k else ())] for k, w in enumerate(words)]
+
+
+def best_pair(at: int, ones: list[Node], twos: list[Node], options: MatchOptions, body: frozenset[int] | None = None) -> Pair | None:
+    """The pair of equal ids with the highest score, then the largest weight, then the fewest differences, then the first."""
+    best, rank = None, None
+    for one in ones:
+        for two in twos:
+            if one.id != two.id or (one.antonym and two.antonym) or (one.relation and two.relation and not options.coordinate):
+                continue
+            if options.max_hyponyms is not None and max(one.hypo_num or 0, two.hypo_num or 0) > options.max_hyponyms:
+                continue
+            if body is not None and not two.covers <= body:
+                continue
+            differ = tuple(f for f in COMPARED if one.trait(f) != two.trait(f))
+            this = (one.score * two.score, one.weight + two.weight, -len(differ))
+            if this[0] > 0 and (rank is None or this > rank):
+                best, rank = Pair(at, one, two, this[0], differ), this
+    return best
+
+
+def rough(first: Tree, at: int, second: Tree, to: int, options: MatchOptions, only: Node | None = None, body: frozenset[int] | None = None) -> dict[int, Pair] | None:
+    """What each phrase of the second tree from ``to`` down stands for in the first one, or None.
+
+    Each child must find another child; the first fitting one is taken, in the order of phrases. The first tree may have more.
+    """
+    pair = best_pair(at, [only] if only else first[at], second[to], options, body)
+    if pair is None:
+        return None
+    found = {to: pair}
+    wanted = [c for c in sorted(pair.two.children) if body is None or c in body]
+    free = sorted(pair.one.children)
+    if len(free) < len(wanted):
+        return None
+    for c in wanted:
+        for k in free:
+            below = rough(first, k, second, c, options, body=body)
+            if below is not None:
+                found |= below
+                free.remove(k)
+                break
+        else:
+            return None
+    return found
+
+
+def fuse(first: Tree, head: int, second_head: int, found: dict[int, Pair], options: MatchOptions, align: bool = False) -> Node | None:
+    """The node that a match gives at the head of the first tree, or None if features at the head forbid it.
+
+    At the head a difference in negation makes the node negated, another one is inherited from the first tree and forbids the node if the
+    second tree has that feature; aligning asks for equal function words only. Elsewhere differences cost, a case only if both have one.
+    """
+    traits, total, covered = {}, 0.0, set()
+    for to, pair in found.items():
+        score = pair.score
+        if to == second_head:
+            for f in pair.differ:
+                if f == "negation":
+                    traits[f] = True
+                elif align:
+                    if f == "fuzoku" and pair.two.trait(f):
+                        return None
+                elif pair.two.trait(f):
+                    return None
+                else:
+                    traits[f] = pair.one.trait(f)
+        else:
+            for f in pair.differ:
+                if f == "case" and not (pair.one.trait(f) and pair.two.trait(f)):
+                    continue
+                if f == "fuzoku" and options.same_particles:
+                    return None
+                score *= PENALTY[f]
+        total += score
+        covered |= {pair.at, *pair.one.covers}
+    below = {c for b in covered if first[b] for c in first[b][0].children} - covered
+    return Node(
+        "", total / len(found), sum(first[b][0].weight for b in covered if first[b]), tuple(sorted(below)), frozenset(covered - {head}),
+        any(p.one.relation or p.two.relation for p in found.values()), any(p.one.antonym or p.two.antonym for p in found.values()), None, traits,
+    )
+
+
+def similarity(first: Tree, second: Tree, options: MatchOptions | None = None) -> float | None:
+    """How well the second tree as a whole is found at the head of the first, or None."""
+    options = options or MatchOptions()
+    if not first or not second:
+        return None
+    found = rough(first, len(first) - 1, second, len(second) - 1, options)
+    node = found and fuse(first, len(first) - 1, len(second) - 1, found, options, align=True)
+    return node.score if node else None
+
+
+@dataclass
+class LocalLexicon:
+    """What a sentence can need: members by the id of their head, edges up, opposites."""
+
+    heads: dict[str, list[tuple[str, Tree]]]
+    parents: dict[str, list[tuple[str, int | None]]]
+    antonyms: dict[str, list[str]]
+
+
+def annotate(tree: Tree, lexicon: LocalLexicon, options: NodeOptions, own: str | None = None) -> Tree:
+    """All nodes of a sentence. Phrases come in order, dependents before heads; new nodes of a phrase become keys in the same pass."""
+    match = MatchOptions()
+
+    def put(bp: int, node: Node) -> None:
+        if node.id == own or not (options.recursive or node.score >= options.threshold or node.weight == 0):
+            return
+        same = next((n for n in out[bp] if n.key() == node.key()), None)
+        if same is None:
+            out[bp].append(node)
+        elif same.score < node.score:
+            same.score, same.relation, same.antonym = node.score, node.relation, node.antonym
+        if options.hypernyms and not node.antonym and (options.recursive or not node.relation):
+            for parent, n in lexicon.parents.get(node.id, ()):
+                known = options.recursive and any(x.id == parent for x in out[bp])
+                if not known and not (options.max_hyponyms is not None and (n or 0) > options.max_hyponyms):
+                    put(bp, Node(parent, node.score * HYPERNYM, node.weight, node.children, node.covers, True, False, n, dict(node.traits)))
+        if options.antonyms and not node.antonym and not node.relation:
+            for other in lexicon.antonyms.get(node.id, ()):
+                put(bp, Node(other, node.score * ANTONYM, node.weight, node.children, node.covers, False, True, None, node.traits | {"negation": not node.trait("negation")}))
+
+    out: Tree = [[] for _ in tree]
+    for bp, nodes in enumerate(tree):
+        for n in nodes:
+            put(bp, Node(n.id, n.score, n.weight, n.children, n.covers, n.relation, n.antonym, n.hypo_num, dict(n.traits)))
+        seen: set[int] = set()
+        k = 0
+        while k < len(out[bp]):
+            key = out[bp][k]
+            k += 1
+            if key.weight == 0:
+                continue
+            for synid, member in sorted(lexicon.heads.get(key.id, ()), key=lambda m: (len(m[1]) > 1, m[0])):
+                if synid == own or id(member) in seen or len(key.children) < (len(member) > 1):
+                    continue
+                seen.add(id(member))
+                found = rough(out, bp, member, len(member) - 1, match, only=key)
+                node = found and fuse(out, bp, len(member) - 1, found, match)
+                if node:
+                    node.id, node.score = synid, node.score * SYNONYM
+                    put(bp, node)
+    return out
+
+
+def annotate_table(trees: DataFrame, lexicon, options: NodeOptions | None = None) -> DataFrame:
+    """(sid, bp, id, score, weight, relation, antonym, negation) like ``attach``, for members of any number of words.
+
+    trees: (sid, bp, id, childbp). The ids a sentence's words can lead to are closed under the lexicon by joins first.
+    """
+    options = options or NodeOptions()
+    spark = trees.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "trees")
+    heads = lexicon.members.select(F.element_at("words", -1).alias("id"), "synid", "words")
+    steps = heads.select("id", F.col("synid").alias("to"))
+    steps = steps.unionByName(lexicon.parents.select(F.col("synid").alias("id"), F.col("parent").alias("to"))).unionByName(lexicon.antonyms.select(F.col("synid").alias("id"), F.col("other").alias("to")))
+    steps = scratch.write(steps.distinct(), "steps")
+    frontier = scratch.write(trees.select("sid", "id").distinct(), "ids")
+    reach = frontier
+    while True:
+        new = frontier.join(steps, "id").select("sid", F.col("to").alias("id")).distinct().join(reach, ["sid", "id"], "left_anti")
+        new = scratch.write(new, "ids")
+        if new.isEmpty():
+            break
+        reach, frontier = reach.unionByName(new), new
+
+    def gathered(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return reach.join(df, "id").groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("id", *columns))).alias(name))
+
+    sent = trees.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("bp", "id", "childbp"))).alias("tree"))
+    rows = sent.join(gathered(heads, "heads", "synid", "words"), "sid", "left")
+    rows = rows.join(gathered(lexicon.parents.withColumnRenamed("synid", "id"), "parents", "parent", "hypo_num"), "sid", "left")
+    rows = rows.join(gathered(lexicon.antonyms.withColumnRenamed("synid", "id"), "antonyms", "other"), "sid", "left")
+    kind = rows.schema["sid"].dataType.simpleString()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                size = max(p["bp"] for p in r.tree) + 1
+                tree: Tree = [[] for _ in range(size)]
+                for p in r.tree:
+                    if p["id"]:
+                        tree[p["bp"]].append(Node(p["id"], children=tuple(int(c) for c in p["childbp"])))
+                local = LocalLexicon({}, {}, {})
+                for h in r.heads if r.heads is not None else ():
+                    local.heads.setdefault(h["id"], []).append((h["synid"], chain(list(h["words"]))))
+                for p in r.parents if r.parents is not None else ():
+                    local.parents.setdefault(p["id"], []).append((p["parent"], p["hypo_num"]))
+                for a in r.antonyms if r.antonyms is not None else ():
+                    local.antonyms.setdefault(a["id"], []).append(a["other"])
+                for bp, nodes in enumerate(annotate(tree, local, options, str(r.sid))):
+                    out += [(r.sid, bp, n.id, n.score, n.weight, n.relation, n.antonym, bool(n.trait("negation")), sorted(n.covers), list(n.children)) for n in nodes]
+            yield pd.DataFrame(out, columns=["sid", "bp", "id", "score", "weight", "relation", "antonym", "negation", "matchbp", "childbp"])
+
+    return rows.mapInPandas(work, f"sid {kind}, bp int, id string, score double, weight double, relation boolean, antonym boolean, negation boolean, matchbp array<int>, childbp array<int>")
+
+
+def as_tree(graph) -> Tree:
+    """A tree from the nested form, an array of (bp, nodes)."""
+    size = max((p["bp"] for p in graph), default=-1) + 1
+    tree: Tree = [[] for _ in range(size)]
+    for p in graph:
+        for n in p["nodes"]:
+            traits = {f: n[f] for f in COMPARED if n[f] is not None and n[f] is not False}
+            tree[p["bp"]].append(Node(n["id"], n["score"], n["weight"], tuple(int(c) for c in n["childbp"]), frozenset(int(b) for b in n["matchbp"]), bool(n["relation"]), bool(n["antonym"]), n["hypo_num"], traits))
+    for nodes in tree:
+        nodes.sort(key=lambda n: (-n.score, len(n.covers), n.id))
+    return tree
+
+
+def match_table(pairs: DataFrame, keep: list[str], options: MatchOptions | None = None) -> DataFrame:
+    """(keep..., score): similarity of the graphs in the columns ``one`` and ``two``; null where they don't match."""
+    ship(pairs.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema) + ", score double"
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scores = [similarity(as_tree(a), as_tree(b), options) for a, b in zip(pdf["one"], pdf["two"])]
+            yield pdf[keep].assign(score=pd.Series(scores, dtype="float64", index=pdf.index))
+
+    return pairs.select(*keep, "one", "two").mapInPandas(work, schema)
