@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import ANTONYM, HYPERNYM, PENALTY, SYNONYM, NodeOptions
@@ -84,7 +84,7 @@ def _covered(*parts: Column) -> Column:
 
 def _synonyms(nodes: DataFrame, kids: DataFrame, heads: DataFrame) -> DataFrame:
     """Nodes of groups whose member is found at a phrase: members of one word, and of two words along one dependency."""
-    n = nodes.filter("weight > 0").withColumnRenamed("id", "node_id").join(heads, "node_id").filter((F.col("child_num") <= F.size("childbp")) & (F.col("synid") != F.col("sid").cast("string")))
+    n = nodes.filter("weight > 0").withColumnRenamed("id", "node_id").join(heads, "node_id").filter((F.col("child_num") <= F.size("childbp")) & (F.col("synid") != F.split_part(F.col("sid").cast("string"), F.lit(","), F.lit(1))))
     one = n.filter(F.size("words") == 1).withColumns({"id": F.col("synid"), "score": F.col("score") * SYNONYM, "covered": _covered("matchbp", F.array("bp"))})
     two = n.filter(F.size("words") == 2).withColumn("wanted", F.element_at("words", 1))
     child = nodes.filter("weight > 0").select(
@@ -218,3 +218,43 @@ def node_lines(nodes: DataFrame) -> DataFrame:
     ]
     score = F.regexp_replace(F.regexp_replace(F.format_number("score", 6), "0+$", ""), r"\.$", "")
     return nodes.select("sid", "bp", F.concat(F.lit("! "), cover, F.lit(" <SYNID:"), "id", F.lit("><スコア:"), score, F.lit(">"), *flags).alias("line"))
+
+
+def compile_members(members: DataFrame) -> DataFrame:
+    """(synid, expression, bp, id, score): members of several words with all ids that the lexicon itself gives their phrases.
+
+    The lexicon annotates its own members until nothing is new, without hypernyms and antonyms; a group is never put on its own members, and
+    members of one word get nothing, as that would make all groups of a word one.
+    """
+    several = members.filter(F.size("words") > 1).select("synid", "words", F.array_join("words", " ").alias("expression")).dropDuplicates(["synid", "expression"])
+    sid = F.concat("synid", F.lit(","), "expression")
+    p = several.select(sid.alias("sid"), F.posexplode("words").alias("bp", "id"))
+    none = F.array().cast("array<int>")
+    trees = p.withColumns({"parentbp": F.lit(-1), "childbp": F.when(F.col("bp") > 0, F.array(F.col("bp") - 1)).otherwise(none)})
+    empty = members.sparkSession.createDataFrame([], "synid string, parent string, hypo_num int, other string")
+    nodes = attach(trees, Lexicon(members, empty.select("synid", "parent", "hypo_num"), empty.select("synid", "other")), NodeOptions(hypernyms=False, antonyms=False))
+    return nodes.join(several.select(sid.alias("sid"), "synid", "expression"), "sid").select("synid", "expression", "bp", "id", "score", "childbp", "matchbp")
+
+
+def compiled_heads(compiled: DataFrame) -> DataFrame:
+    """(node_id, child_num, synid, expression): the head index over all ids of the members' last phrases."""
+    last = compiled.groupBy("synid", "expression").agg(F.max("bp").alias("last"))
+    tail = compiled.join(last, ["synid", "expression"]).filter("bp = last")
+    n = tail.groupBy("synid", "expression").agg(F.least(F.lit(10), F.min(F.size("childbp"))).alias("child_num"))
+    return tail.select("synid", "expression", F.col("id").alias("node_id")).distinct().join(n, ["synid", "expression"]).select("node_id", "child_num", "synid", "expression")
+
+
+def memory_matches(nodes: DataFrame, trees: DataFrame, memory: DataFrame, most: int = 10, target: str | None = None) -> DataFrame:
+    """(sid, bp, stid, covered, score): entries of a translation memory found in sentences, at most so many for each set of phrases they cover.
+
+    memory: (stid, words, mvalue). With ``target`` only entries that have one of their values in it count. Nodes are taken as they are: what is
+    found doesn't lead on.
+    """
+    m = memory
+    if target is not None:
+        m = m.filter(F.exists("mvalue", lambda v: F.contains(F.lit(target), v)))
+    kids = trees.groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bp", "childbp"))).alias("k")).select("sid", F.transform("k", lambda x: x["childbp"]).alias("kids"))
+    found = _synonyms(nodes, kids, head_index(m.select(F.col("stid").alias("synid"), "words")))
+    best = found.groupBy("sid", "bp", F.col("id").alias("stid"), F.array_sort(F.array_append("matchbp", F.col("bp"))).alias("covered")).agg(F.max(F.col("score") / SYNONYM).alias("score"))
+    k = F.row_number().over(Window.partitionBy("sid", "covered").orderBy(F.desc("score"), "stid"))
+    return best.withColumn("k", k).filter(F.col("k") <= most).drop("k")
