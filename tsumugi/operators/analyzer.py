@@ -82,9 +82,11 @@ def keywords(parsed: DataFrame) -> DataFrame:
     p = parsed.filter("kind = 'phrase'").select("sid", "bp", "parentbp", "dpndtype", "text")
     voice = F.regexp_extract("text", "<態:([^|>]+)", 1)
     flags = p.select(
-        "sid", "bp", "parentbp", "dpndtype", F.regexp_extract("text", "<係:([^>]+)格>", 1).alias("case"), F.col("text").contains("<可能表現>").alias("kanou"),
+        "sid", "bp", "parentbp", "dpndtype", F.col("text").contains("<可能表現>").alias("kanou"),
         F.col("text").contains("<敬語:尊敬表現>").alias("sonnkei"), (voice == "受動").alias("ukemi"), (voice == "使役").alias("shieki"), F.col("text").contains("<否定表現>").alias("negation"),
     )
+    found = p.select("sid", F.explode(cases(F.col("text"))).alias("c")).groupBy("sid", F.col("c.childbp").alias("bp")).agg(F.min("c.case").alias("case"))
+    flags = flags.join(found, ["sid", "bp"], "left")
     kids = p.filter("parentbp >= 0").groupBy("sid", F.col("parentbp").alias("bp")).agg(F.sort_array(F.collect_list(F.col("bp"))).alias("childbp"))
     named = agg.select("sid", "bp", joined("name", own, "+").alias("id"), joined("surface", F.col("ms"), "").alias("midasi"), joined("surface", rest, "").alias("fuzoku"))
     return flags.join(named, ["sid", "bp"], "left").join(kids, ["sid", "bp"], "left").withColumn("childbp", F.coalesce("childbp", F.array().cast("array<int>")))
@@ -110,9 +112,9 @@ def generalise_numbers(name: Column) -> Column:
 
 
 def cases(parsed_phrase: Column) -> Column:
-    """(case, child phrase) pairs of a case analysis ``<格解析結果:verb:ガ/C/word/bp/...;ヲ/...>``."""
-    body = F.regexp_extract(parsed_phrase, "<格解析結果:[^:>]+:([^>]+)>", 1)
-    each = F.filter(F.split(body, ";"), lambda x: x.rlike("^[^/]+/[^U/][^/]*/[^/]*/[0-9]+"))
+    """(case, child phrase) pairs of a case analysis ``<格解析結果:verb:frame:ガ/C/word/bp/...;ヲ/...>``; N is what the phrase itself modifies."""
+    body = F.regexp_extract(parsed_phrase, "<格解析結果:[^:>]+:[^:>]+:([^>]+)>", 1)
+    each = F.filter(F.split(body, ";"), lambda x: x.rlike("^[^/]+/[^UN/][^/]*/[^/]*/[0-9]+"))
     return F.transform(each, lambda x: F.struct(F.split_part(x, F.lit("/"), F.lit(1)).alias("case"), F.split_part(x, F.lit("/"), F.lit(4)).cast("int").alias("childbp")))
 
 

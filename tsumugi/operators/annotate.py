@@ -208,8 +208,8 @@ def least_children(nodes: DataFrame) -> DataFrame:
     return tail.groupBy("sid").agg(F.least(F.lit(10), F.min(F.size("childbp"))).alias("child_num"))
 
 
-def node_lines(nodes: DataFrame) -> DataFrame:
-    """(sid, bp, line): each node as a line of the annotated text."""
+def line_of() -> Column:
+    """A node as a line of the annotated text."""
     cover = F.array_join(F.transform(F.array_sort(F.array_append("matchbp", F.col("bp"))), lambda x: x.cast("string")), ",")
     flags = [
         F.when(F.col("antonym"), "<反義語>").otherwise(""), F.when(F.col("relation"), "<上位語>").otherwise(""),
@@ -217,7 +217,12 @@ def node_lines(nodes: DataFrame) -> DataFrame:
         *[F.when(F.col(f), f"<{t}>").otherwise("") for f, t in (("negation", "否定"), ("kanou", "可能"), ("sonnkei", "尊敬"), ("ukemi", "受身"), ("shieki", "使役"))],
     ]
     score = F.regexp_replace(F.regexp_replace(F.format_number("score", 6), "0+$", ""), r"\.$", "")
-    return nodes.select("sid", "bp", F.concat(F.lit("! "), cover, F.lit(" <SYNID:"), "id", F.lit("><スコア:"), score, F.lit(">"), *flags).alias("line"))
+    return F.concat(F.lit("! "), cover, F.lit(" <SYNID:"), "id", F.lit("><スコア:"), score, F.lit(">"), *flags)
+
+
+def node_lines(nodes: DataFrame) -> DataFrame:
+    """(sid, bp, line): each node as a line of the annotated text."""
+    return nodes.select("sid", "bp", line_of().alias("line"))
 
 
 def compile_members(members: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def annotate(tree: Tree, lexicon: LocalLexicon, options: NodeOptions, own: str |
     match = MatchOptions()
 
     def put(bp: int, node: Node) -> None:
-        if node.id == own or not (options.recursive or node.score >= options.threshold or node.weight == 0):
+        if not (options.recursive or node.score >= options.threshold or node.weight == 0):
             return
         same = next((n for n in out[bp] if n.key() == node.key()), None)
         if same is None:
@@ -208,6 +208,7 @@ def annotate_table(trees: DataFrame, lexicon, options: NodeOptions | None = None
     spark = trees.sparkSession
     ship(spark)
     scratch = Scratch(spark, "trees")
+    trees = trees.dropDuplicates(["sid", "bp", "id"])
     heads = lexicon.members.select(F.element_at("words", -1).alias("id"), "synid", "words")
     steps = heads.select("id", F.col("synid").alias("to"))
     steps = steps.unionByName(lexicon.parents.select(F.col("synid").alias("id"), F.col("parent").alias("to"))).unionByName(lexicon.antonyms.select(F.col("synid").alias("id"), F.col("other").alias("to")))
@@ -246,7 +247,7 @@ def annotate_table(trees: DataFrame, lexicon, options: NodeOptions | None = None
                     local.parents.setdefault(p["id"], []).append((p["parent"], p["hypo_num"]))
                 for a in r.antonyms if r.antonyms is not None else ():
                     local.antonyms.setdefault(a["id"], []).append(a["other"])
-                for bp, nodes in enumerate(annotate(tree, local, options, str(r.sid))):
+                for bp, nodes in enumerate(annotate(tree, local, options, str(r.sid).split(',')[0])):
                     out += [(r.sid, bp, n.id, n.score, n.weight, n.relation, n.antonym, bool(n.trait("negation")), sorted(n.covers), list(n.children)) for n in nodes]
             yield pd.DataFrame(out, columns=["sid", "bp", "id", "score", "weight", "relation", "antonym", "negation", "matchbp", "childbp"])
 
