@@ -120,15 +120,31 @@ class Scratch:
             pass
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, apart: bool = False) -> DataFrame:
     """Inner join of many rows to one row a key, not slowed by hot keys.
 
     ``right`` has one row a key, and in ``weight`` how many rows of ``left`` the key has, of ``total`` in all. Keys with more
-    than one part in HOT_PARTS of the rows are at most HOT_PARTS many, so they are broadcast; the rest is joined by shuffle.
+    than one part in HOT_PARTS of the rows are at most HOT_PARTS many, so they are broadcast; all other rows are joined by shuffle.
+
+    Both happen in one pass: a row served by the broadcast goes through the shuffle under a hash of itself, so that hot keys' rows
+    spread evenly and alike whenever a lost task is run again; what it may meet there is not looked at. With ``apart``, for a
+    left side that is cheap to read twice and mostly hot, rows of hot keys stay out of the shuffle instead.
     """
     is_hot = F.col(weight) * HOT_PARTS > F.lit(total)
-    hot, cold = F.broadcast(right.filter(is_hot).drop(weight)), right.filter(~is_hot).drop(weight)
-    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    values = [c for c in right.columns if c not in (key, weight)]
+    if apart:
+        hot, cold = F.broadcast(right.filter(is_hot).drop(weight)), right.filter(~is_hot).drop(weight)
+        rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+        return left.join(hot, key).unionByName(rest.join(cold, key)).select(*left.columns, *values)
+    packed = F.struct(*values)
+    hot = F.broadcast(right.filter(is_hot).select(F.col(key), packed.alias("_hot")))
+    cold = right.filter(~is_hot).select(F.col(key).alias("_key"), packed.alias("_cold"))
+    spread = F.xxhash64(*left.columns)
+    if left.schema[key].dataType.simpleString() == "string":
+        spread = F.concat(F.lit("\x00"), spread.cast("string"))
+    served = left.join(hot, key, "left").withColumn("_to", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col(key)))
+    met = served.join(cold, F.col("_to") == F.col("_key"), "left").withColumn("_found", F.coalesce("_hot", "_cold")).filter("_found is not null")
+    return met.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def filled(c: str | Column) -> Column:

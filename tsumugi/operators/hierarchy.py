@@ -112,7 +112,7 @@ def hierarchy(rows: DataFrame, child: str, parent: str, separator: str = ">") ->
         F.coalesce("full_path", F.col("up")).alias("path"),
     )
     looped = F.col("above") < 0
-    leaves = lookup(f.edges.filter("n is null").select("node", "up"), above, "up", "n", f.n_edges).select(
+    leaves = lookup(f.edges.filter("n is null").select("node", "up"), above, "up", "n", f.n_edges, apart=True).select(
         "node",
         "root_node",
         F.when(looped, F.lit(-2)).otherwise(F.col("above") + 1).alias("node_depth"),
@@ -127,7 +127,7 @@ def ancestor_pairs(rows: DataFrame, child: str, parent: str) -> DataFrame:
     inner = f.inner.filter("depth > 0").select("node", "path")
     above = f.parents.join(f.inner.select(F.col("node").alias("up"), "path", "depth"), "up", "left").filter(F.coalesce("depth", F.lit(0)) >= 0)
     above = above.select("up", "n", F.coalesce("path", F.array("up")).alias("above"))
-    leaves = lookup(f.edges.filter("n is null").select("node", "up"), above, "up", "n", f.n_edges).select("node", F.concat("above", F.array("node")).alias("path"))
+    leaves = lookup(f.edges.filter("n is null").select("node", "up"), above, "up", "n", f.n_edges, apart=True).select("node", F.concat("above", F.array("node")).alias("path"))
     both = inner.unionByName(leaves)
     return both.select("node", F.size("path").alias("size"), F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("at", "ancestor")).select(
         "ancestor", "node", (F.col("size") - 1 - F.col("at")).alias("distance")
