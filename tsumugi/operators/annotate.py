@@ -99,9 +99,10 @@ def _synonyms(nodes: DataFrame, kids: DataFrame, heads: DataFrame) -> DataFrame:
         cost = cost * F.when(d, PENALTY[f]).otherwise(1.0)
     met = met.withColumns({"cost": cost, "mismatches": mismatches})
     taken = ["c_score", "c_relation", "c_antonym", "c_match", "cost"]
-    best = F.max(F.struct((-F.col("c")).alias("first"), F.col("c_score").alias("s"), F.col("c_weight").alias("w"), (-F.col("mismatches")).alias("m"), *taken))
-    same = [c for c in [*nodes.columns, "synid"] if c != "id"]
-    picked = met.groupBy(*same, "node_id").agg(best.alias("b"))
+    own = [c for c in nodes.columns if c not in KEY]
+    order = (-F.col("c")).alias("first"), F.col("c_score").alias("s"), F.col("c_weight").alias("w"), (-F.col("mismatches")).alias("m")
+    picked = met.groupBy(*[c for c in KEY if c != "id"], "node_id", "synid").agg(F.max(F.struct(*order, *taken, *own)).alias("b"))
+    picked = picked.withColumns({c: F.col(f"b.{c}") for c in own})
     both = picked.withColumns(
         {
             "id": F.col("synid"),
@@ -128,7 +129,7 @@ def attach(trees: DataFrame, lexicon: Lexicon, options: NodeOptions | None = Non
     """All nodes of phrase trees: own words, groups they belong to, hypernyms, antonyms, and groups of two-word expressions.
 
     Rounds of joins over all sentences at once: each probes the head index with all nodes so far, new nodes become keys of the
-    next round, and rounds end when no node is new or better. Members of more words take the tree matcher
+    next round, and rounds end when no node that a member's word could meet is new or better. Members of more words take the tree matcher
     (:mod:`tree_match`). trees: (sid, bp, id, parentbp, childbp). Phrases without a word have no node; sentences whose id
     is a group's don't get that group. Equal nodes count once; repeated sentences are one.
     """
@@ -137,17 +138,15 @@ def attach(trees: DataFrame, lexicon: Lexicon, options: NodeOptions | None = Non
     scratch = Scratch(trees.sparkSession, "attach")
     trees = trees.dropDuplicates(["sid", "bp", "id"])
     kids = trees.groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bp", "childbp"))).alias("k")).select("sid", F.transform("k", lambda x: x["childbp"]).alias("kids"))
+    kids = scratch.write(kids, "kids")
     heads = head_index(lexicon.members)
     once = NodeOptions(**{**options.__dict__, "recursive": False})
     nodes = scratch.write(register(expand(basic_nodes(trees), lexicon, once), threshold), "nodes")
-    state = None
-    while True:
-        found = nodes.agg(F.count(F.lit(1)), F.round(F.sum("score"), 6)).first()
-        if state == found:
-            break
-        state = found
+    keys = scratch.write(lexicon.members.select(F.explode("words").alias("id")).distinct(), "keys")
+    fresh = nodes
+    while not fresh.join(keys, "id", "left_semi").isEmpty():
         new = scratch.write(register(nodes.unionByName(expand(_synonyms(nodes, kids, heads), lexicon, once)), threshold), "nodes")
-        scratch.drop(nodes)
+        fresh = new.join(nodes.select(*KEY, F.col("score").alias("was")), KEY, "left").filter("was is null or score > was + 1e-12").select(*nodes.columns)
         nodes = new
     if options.recursive:
         nodes = scratch.write(register(expand(nodes.filter("not relation"), lexicon, NodeOptions(**{**options.__dict__, "antonyms": False})).unionByName(nodes.filter("relation")), None), "nodes")
@@ -236,7 +235,7 @@ def compile_members(members: DataFrame) -> DataFrame:
     p = several.select(sid.alias("sid"), F.posexplode("words").alias("bp", "id"))
     none = F.array().cast("array<int>")
     trees = p.withColumns({"parentbp": F.lit(-1), "childbp": F.when(F.col("bp") > 0, F.array(F.col("bp") - 1)).otherwise(none)})
-    empty = members.sparkSession.createDataFrame([], "synid string, parent string, hypo_num int, other string")
+    empty = members.sparkSession.sql("SELECT '' AS synid, '' AS parent, 0 AS hypo_num, '' AS other").limit(0)
     nodes = attach(trees, Lexicon(members, empty.select("synid", "parent", "hypo_num"), empty.select("synid", "other")), NodeOptions(hypernyms=False, antonyms=False))
     return nodes.join(several.select(sid.alias("sid"), "synid", "expression"), "sid").select("synid", "expression", "bp", "id", "score", "childbp", "matchbp")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import MAX_GROUP
-from ..functions.runtime import Scratch, filled
+from ..functions.runtime import Scratch, filled, lookup
 from ..functions.strings import base_of, headword, reading, sense_of, to_wide, trim_definition, usable_definition, written
 from .unpack import ALL
 
@@ -210,9 +210,14 @@ def expand_isa(isa: DataFrame, groups: DataFrame) -> DataFrame:
 
 def hypernym_support(isa: DataFrame) -> DataFrame:
     """Edges with the number of rows their hypernym has."""
-    rows = isa.filter(filled("hypo") & filled("hyper"))
+    return _with_support(isa.filter(filled("hypo") & filled("hyper")))
+
+
+def _with_support(rows: DataFrame) -> DataFrame:
+    """Distinct edges with the number of rows of their hypernym, of which a few have most rows."""
     n = rows.groupBy("hyper").agg(F.count(F.lit(1)).alias("support"))
-    return rows.select("hypo", "hyper").distinct().join(n, "hyper").select("hypo", "hyper", "support")
+    total = n.agg(F.sum("support")).first()[0] or 0
+    return lookup(rows.select("hypo", "hyper").distinct(), n.withColumn("weight", F.col("support")), "hyper", "weight", total).select("hypo", "hyper", "support")
 
 
 def clean_isa(isa: DataFrame, known: DataFrame, least: int = 5, same_head: bool = False) -> DataFrame:
@@ -227,8 +232,7 @@ def clean_isa(isa: DataFrame, known: DataFrame, least: int = 5, same_head: bool
     if same_head:
         ok = ok.filter(~F.endswith(written(F.col("hypo")), written(F.col("hyper"))))
     ok = ok.join(known.filter(filled("word")).select(F.col("word").alias("hypo")).distinct(), "hypo", "left_anti")
-    n = ok.groupBy("hyper").agg(F.count(F.lit(1)).alias("support"))
-    return ok.select("hypo", "hyper").distinct().join(n, "hyper").select("hypo", "hyper", "support")
+    return _with_support(ok)
 
 
 def _parts(c: Column) -> Column:

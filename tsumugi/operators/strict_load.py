@@ -47,7 +47,8 @@ def rejected(lines: DataFrame, offset: str, raw: str) -> DataFrame:
 
     Strict load plus anti-join: the offsets that loaded are subtracted from all offsets, and only the remainder is
     diagnosed. The first that applies of: quote, columns, word_id, sense, sense_type, empty. A null line has no fields, so
-    it is ``columns``, as is an empty one. An offset that stands twice is taken to be one record. Nothing is lost: the
+    it is ``columns``, as is an empty one. An offset that stands twice is taken to be one record; null
+    offsets can't be subtracted, and their lines are diagnosed all the same. Nothing is lost: the
     offsets loaded and rejected together are all offsets.
     """
     good = load_valid(lines, offset, raw).select("offset")
@@ -58,6 +59,6 @@ def rejected(lines: DataFrame, offset: str, raw: str) -> DataFrame:
         .when(~F.col("has_id"), "word_id")
         .when(~_sense_fits(), "sense")
         .when(~F.col("sense_type").isin("isa", "synonym"), "sense_type")
-        .otherwise("empty")
+        .when(F.col("sense_text") == "", "empty")
     )
-    return _parsed(rest, "offset", "raw").select("offset", reason.alias("reason"))
+    return _parsed(rest, "offset", "raw").select("offset", reason.alias("reason")).filter("reason is not null")

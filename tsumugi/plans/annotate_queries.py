@@ -12,7 +12,7 @@ from ..operators import annotate as A
 from ..operators import similarity as M
 from ..operators.analyzer import chain_trees, words
 from ..operators.tree_match import annotate_table
-from .fixtures import ANTONYMS, MEMBERS, WHOLE, lexicon, name_trees, nodes_sql, part_trees, values
+from .fixtures import ANTONYMS, MEMBERS, WHOLE, inline, lexicon, name_trees, nodes_sql, part_trees, values
 from .lexicon_queries import _G, groups, isa, web
 
 Q = {}
@@ -192,11 +192,11 @@ f AS (SELECT *, p = q OR EXISTS (SELECT 1 FROM sets a JOIN sets b USING (set_id)
 
 
 def small_sets(s):
-    return s.createDataFrame([(e, g) for g, e in MEMBERS if " " not in e], "word string, set_id string")
+    return inline(s, [(e, g) for g, e in MEMBERS if " " not in e], "word, set_id")
 
 
 def no_pairs(s):
-    return s.createDataFrame([], "w1 string, w2 string")
+    return inline(s, [("", "")], "w1, w2").filter("w1 <> ''")
 
 
 @query("q_is_synonym", f"WITH {_SETS}, {_ANT} {_POS} SELECT w1, w2, bool_and(same) AS synonym FROM f GROUP BY ALL")
@@ -206,7 +206,7 @@ def _(s, d):
 
 @query("q_is_antonym", f"WITH {_SETS}, {_ANT} {_POS} SELECT w1, w2, bool_and(same OR opposite) AND count(*) FILTER (opposite) % 2 = 1 AS antonym FROM f GROUP BY ALL")
 def _(s, d):
-    opposites = s.createDataFrame([*ANTONYMS, ("hot", "cold"), ("large", "small")], "w1 string, w2 string")
+    opposites = inline(s, [*ANTONYMS, ("hot", "cold"), ("large", "small")], "w1, w2")
     return M.is_antonym(plus_pairs(s, d), opposites, no_pairs(s), small_sets(s))
 
 
@@ -257,7 +257,7 @@ def _(s, d):
 def _(s, d):
     n = part_nodes(s, d)
     resolved = n.filter("bp = 1").select("sid", "bp", F.lit("gear").alias("word"), F.when(F.col("sid") % 2 == 0, 1).otherwise(2).alias("m")).distinct()
-    inventory = s.createDataFrame([("gear", 1, "g1"), ("gear", 2, "g2")], "word string, m int, synid string")
+    inventory = inline(s, [("gear", 1, "g1"), ("gear", 2, "g2")], "word, m, synid")
     return shown(A.without_other_senses(n, resolved, inventory))
 
 

@@ -17,10 +17,16 @@ PARENTS = [("g1", "fastener", 2), ("g2", "wheel", 2), ("fastener", "item", 4), (
 ANTONYMS = [("g3", "small"), ("g6", "cold"), ("new", "old")]
 
 
+def inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows as a table that the optimiser knows the size of."""
+    listed = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({columns})")
+
+
 def lexicon(spark: SparkSession) -> Lexicon:
-    members = spark.createDataFrame(MEMBERS, "synid string, expression string").select("synid", F.split("expression", " ").alias("words"))
+    members = inline(spark, MEMBERS, "synid, expression").select("synid", F.split("expression", " ").alias("words"))
     both = [*ANTONYMS, *((b, a) for a, b in ANTONYMS)]
-    return Lexicon(members, spark.createDataFrame(PARENTS, "synid string, parent string, hypo_num int"), spark.createDataFrame(both, "synid string, other string"))
+    return Lexicon(members, inline(spark, PARENTS, "synid, parent, hypo_num"), inline(spark, both, "synid, other"))
 
 
 def part_trees(spark: SparkSession, d: str) -> DataFrame:
