@@ -224,13 +224,13 @@ def look_alike_pairs(fields: list[tuple[str, DataFrame]]) -> DataFrame:
     paired as values, and each pair of spellings is written out against its rows, so pairs of rows with the same characters are never
     made; the rows of a spelling are spread by salt. The result is as large as the data has such pairs.
 
-    Null and empty values don't count. Empty tables give no rows. Repeated rows count each for itself.
+    Null and empty values and rows without an id don't count. Empty tables give no rows. Ids are taken to be unique in a field.
     """
     spark: SparkSession = fields[0][1].sparkSession
     scratch = Scratch(spark, "looks")
     all_rows = None
     for name, df in fields:
-        part = df.toDF("id", "value").filter(filled("value")).select(F.lit(name).alias("field"), F.col("id").cast("long").alias("id"), "value")
+        part = df.toDF("id", "value").filter(filled("value") & F.col("id").isNotNull()).select(F.lit(name).alias("field"), F.col("id").cast("long").alias("id"), "value")
         all_rows = part if all_rows is None else all_rows.unionByName(part)
     model = train(all_rows)
     forms = canonical_forms(all_rows, model, ["field", "id"])
