@@ -25,9 +25,8 @@ class Forest:
     n_edges: int
 
 
-def _step(open_: DataFrame, table: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Every open node takes over where its jump target points to; also gives the targets, for the next step."""
-    total = open_.count()
+def _step(open_: DataFrame, total: int, table: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Every open node, of ``total``, takes over where its jump target points to; also gives the targets, for the next step."""
     width = open_.groupBy("jump").agg(F.count(F.lit(1)).alias("n"))
     target = scratch.write(width.join(table.withColumnsRenamed({"jump": "jump2", "node": "jump"}), "jump"), "targets")
     to = target.select("jump", "jump2", F.col("seg").alias("seg2"), F.col("done").alias("done2"), "n")
@@ -35,6 +34,12 @@ def _step(open_: DataFrame, table: DataFrame, scratch: Scratch) -> tuple[DataFra
     return scratch.write(new, "state"), target
 
 
+def _split(state: DataFrame) -> tuple[int, int]:
+    """How many nodes are done and how many open."""
+    n = {r["done"]: r["count"] for r in state.groupBy("done").count().collect()}
+    return n.get(True, 0), n.get(False, 0)
+
+
 def _table(jump_first: DataFrame) -> DataFrame:
     return jump_first.select(F.col("jump").alias("node"), F.col("jump2").alias("jump"), "seg", "done")
 
@@ -67,15 +72,15 @@ def grow(rows: DataFrame, child: str, parent: str) -> Forest:
         inner.join(root_flag, "up", "left").select("node", F.col("up").alias("jump"), F.array("node").alias("seg"), F.coalesce("done", F.lit(False)).alias("done")), "state"
     )
     finished, open_, table = [state.filter("done")], state.filter("not done"), state
-    left = not open_.isEmpty()
+    _, left = _split(state)
     while left:
-        new, targets = _step(open_, table, scratch)
+        new, targets = _step(open_, left, table, scratch)
         open_ = new.filter("not done")
-        if new.filter("done").isEmpty():
+        reached, left = _split(new)
+        if not reached:
             break
         finished.append(new.filter("done"))
         table = new.unionByName(_table(targets.filter("done")))
-        left = not open_.isEmpty()
     result = None
     for f in finished:
         part = f.select("node", F.col("jump").alias("root"), F.concat(F.array("jump"), "seg").alias("path"), F.size("seg").alias("depth"))
@@ -85,7 +90,7 @@ def grow(rows: DataFrame, child: str, parent: str) -> Forest:
         open_ = open_.select("node", "jump", nothing.alias("seg"), "done")
         wide = open_.select("jump").distinct().count()
         while True:
-            open_, _ = _step(open_, open_, scratch)
+            open_, _ = _step(open_, left, open_, scratch)
             narrow = open_.select("jump").distinct().count()
             if narrow == wide:
                 break
@@ -102,7 +107,11 @@ def hierarchy(rows: DataFrame, child: str, parent: str, separator: str = ">") ->
     The path joins the words from the root, which is no child itself, down to the node. Nodes on a loop have depth -1, nodes
     that lead into one -2, both with empty root and path. An empty table gives no rows.
     """
-    f = grow(rows, child, parent)
+    return paths(grow(rows, child, parent), separator)
+
+
+def paths(f: Forest, separator: str = ">") -> DataFrame:
+    """What :func:`hierarchy` gives, of a forest."""
     inner = f.inner.select("node", F.col("root").alias("root_node"), F.col("depth").alias("node_depth"), F.array_join("path", separator).alias("full_path"))
     above = f.parents.join(inner.withColumnRenamed("node", "up"), "up", "left").select(
         "up",
@@ -139,15 +148,19 @@ def descendant_counts(rows: DataFrame, child: str, parent: str) -> DataFrame:
 
     Leaves are counted at their parent first, so ancestor pairs are made of inner nodes only.
     """
-    f = grow(rows, child, parent)
+    return below(grow(rows, child, parent))
+
+
+def below(f: Forest) -> DataFrame:
+    """What :func:`descendant_counts` gives, of a forest."""
     leaves = f.edges.filter("n is null").groupBy("up").agg(F.count(F.lit(1)).alias("leaves"))
-    below = (
+    held = (
         f.parents.join(f.inner.select(F.col("node").alias("up"), "path", "depth"), "up", "left")
         .filter(F.coalesce("depth", F.lit(0)) >= 0)
         .join(leaves, "up", "left")
         .select(F.coalesce("path", F.array("up")).alias("path"), F.coalesce("leaves", F.lit(0).cast("long")).alias("leaves"))
     )
-    pairs = below.select("leaves", F.size("path").alias("size"), F.posexplode("path").alias("at", "ancestor")).select(
+    pairs = held.select("leaves", F.size("path").alias("size"), F.posexplode("path").alias("at", "ancestor")).select(
         "ancestor",
         (F.col("leaves") + F.when(F.col("at") < F.col("size") - 1, 1).otherwise(0)).alias("n"),
         (F.col("size") - 1 - F.col("at") + F.when(F.col("leaves") > 0, 1).otherwise(0)).alias("height"),

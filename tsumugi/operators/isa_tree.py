@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runtime import filled
+from ..functions.runtime import filled, lookup
 from ..functions.strings import base_of
-from .hierarchy import ancestor_pairs, descendant_counts, hierarchy
+from .hierarchy import ancestor_pairs, below, descendant_counts, grow, hierarchy, paths
 
 
 def load_edges(isa: DataFrame) -> DataFrame:
@@ -66,11 +66,12 @@ def coordinate_counts(edges: DataFrame) -> DataFrame:
 
     From sizes, never from pairs: in a tree of any size, the words above are as many as the word's depth.
     """
-    h = hierarchy(edges, "child", "parent").filter("node_depth > 0")
-    below = descendant_counts(edges, "child", "parent").select("ancestor", "n_descendants")
-    size = below.select(F.col("ancestor").alias("root_node"), (F.col("n_descendants") + 1).alias("size"))
-    own = below.select(F.col("ancestor").alias("node"), "n_descendants")
-    j = h.join(size, "root_node").join(own, "node", "left")
+    forest = grow(edges, "child", "parent")
+    h = paths(forest).filter("node_depth > 0").select("node", "root_node", "node_depth")
+    counts = below(forest).select("ancestor", "n_descendants")
+    size = counts.select(F.col("ancestor").alias("root_node"), (F.col("n_descendants") + 1).alias("size"), F.col("n_descendants").alias("weight"))
+    own = counts.select(F.col("ancestor").alias("node"), "n_descendants")
+    j = lookup(h, size, "root_node", "weight", forest.n_edges).join(own, "node", "left")
     n = F.col("size") - 1 - F.col("node_depth") - F.coalesce("n_descendants", F.lit(0))
     return j.select(F.col("node").alias("word"), n.cast("long").alias("n_coordinate")).filter("n_coordinate > 0")
 
