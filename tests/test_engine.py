@@ -10,7 +10,7 @@ from tsumugi.operators import isa_tree as T
 from tsumugi.operators import lexicon_etl as E
 from tsumugi.operators import retrieval as R
 from tsumugi.operators import similarity as M
-from tsumugi.operators.analyzer import alternatives, article_of, chain_trees, generalise_numbers, keywords, virtual_edges, without_semi_content
+from tsumugi.operators.analyzer import adjective_stem, alternatives, article_of, chain_trees, generalise_numbers, keywords, listed_alternatives, virtual_edges, without_semi_content
 from tsumugi.operators.tree_match import LocalLexicon, Node, annotate, chain, similarity
 from tsumugi.sources import readers, writers
 from tsumugi.streaming.annotate_stream import annotate_stream, windowed_counts, word_nodes
@@ -363,3 +363,13 @@ def test_small_analysis_steps(spark):
     assert [x["childbp"] for x in virtual_edges(p).orderBy("bp").collect()] == [[], [0], [1]]
     m = spark.createDataFrame([(1, 0, 0, "a", False), (1, 0, 1, "b", True), (1, 1, 0, "c", True)], "sid int, bp int, i int, name string, semi boolean")
     assert sorted((x["bp"], x["id"], x["score"]) for x in without_semi_content(m).collect()) == [(0, "a", 0.8), (0, "a+b", 1.0), (1, "c", 1.0)]
+
+
+def test_more_of_the_analysis(spark):
+    text = "<ALT-近い-ちかい-近い-3-0-18-2><同義:形容詞:親しい/したしい><派生:近さ/ちかさ>"
+    assert one(spark, listed_alternatives(F.col("a"), F.lit(False)), a=text) == ["近い/ちかい", "親しい/したしい", "近さ/ちかさ"]
+    assert one(spark, listed_alternatives(F.col("a"), F.lit(True)), a=text) == ["親しい/したしい", "近さ/ちかさ"]
+    assert one(spark, adjective_stem(F.col("a"), F.col("b")), a="近い/ちかい", b="イ形容詞アウオ段") == "近/ちか"
+    assert one(spark, adjective_stem(F.col("a"), F.col("b")), a="駅/えき", b="普通名詞") is None
+    rows = spark.createDataFrame([(1, ["を", "に"], "を"), (2, ["に"], "を"), (3, ["の"], "を"), (4, [None], "を"), (5, [], "を"), (6, None, "を")], "id int, child_fuzoku array<string>, fuzoku string")
+    assert sorted(x["id"] for x in A.phrase_case_filter(rows).collect()) == [1, 3, 4]

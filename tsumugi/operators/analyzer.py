@@ -134,3 +134,26 @@ def without_semi_content(morphemes: DataFrame) -> DataFrame:
         F.array(F.struct(full.alias("id"), F.lit(1.0).alias("score")))
     )
     return g.select("sid", "bp", F.explode(both).alias("x")).select("sid", "bp", "x.id", "x.score")
+
+
+def listed_alternatives(features: Column, disambiguated: Column) -> Column:
+    """Other lemmas a morpheme's features list: other readings (unless it was disambiguated), synonyms and what it derives from."""
+    readings = F.transform(F.regexp_extract_all(features, F.lit("<ALT-([^-]+-[^-]+-[^-]+)-"), F.lit(1)), lambda x: F.concat(F.split_part(x, F.lit("-"), F.lit(3)), F.lit("/"), F.split_part(x, F.lit("-"), F.lit(2))))
+    others = F.regexp_extract_all(features, F.lit("(?:同義|派生):(?:[^:>; ]+:)?([^:>; ]+)"), F.lit(1))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.when(disambiguated, none).otherwise(readings), others))
+
+
+def adjective_stem(name: Column, kind: Column) -> Column:
+    """The stem of an i-adjective as a name of its own, null for other words."""
+    written, read = F.split_part(name, F.lit("/"), F.lit(1)), F.split_part(name, F.lit("/"), F.lit(2))
+    stem = F.concat(F.regexp_replace(written, "い$", ""), F.lit("/"), F.regexp_replace(read, "い$", ""))
+    return F.when(kind.startswith("イ形容詞") & name.rlike("い/.*い$"), stem)
+
+
+def case_phrases(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, pos, word, case): nouns with the case particle right behind them, in order."""
+    pattern = "([一-鿿々ァ-ヺーA-Za-zÀ-ÿ]+)(を|に|で|が|と)"
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("word"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("case"))
+    p = rows.filter(text.isNotNull()).select(F.col(key), F.posexplode(pairs).alias("pos", "z"))
+    return p.select(key, "pos", F.col("z.word").alias("word"), F.col("z.case").alias("case"))

@@ -262,3 +262,44 @@ def memory_matches(nodes: DataFrame, trees: DataFrame, memory: DataFrame, most:
     best = found.groupBy("sid", "bp", F.col("id").alias("stid"), F.array_sort(F.array_append("matchbp", F.col("bp"))).alias("covered")).agg(F.max(F.col("score") / SYNONYM).alias("score"))
     k = F.row_number().over(Window.partitionBy("sid", "covered").orderBy(F.desc("score"), "stid"))
     return best.withColumn("k", k).filter(F.col("k") <= most).drop("k")
+
+
+def phrase_case_filter(candidates: DataFrame) -> DataFrame:
+    """Candidates of similar phrases that may match by case: some child has は, の, the phrase's own function word, or none.
+
+    candidates: (..., child_fuzoku: array of the children's function words, fuzoku: the phrase's).
+    """
+    ok = F.exists("child_fuzoku", lambda c: c.isNull() | c.isin("", "は", "の") | (c == F.col("fuzoku")))
+    return candidates.filter(F.coalesce(ok, F.lit(False)))
+
+
+def node_logs(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(sid, bp, id, log): how each node came about, in words: ``word``, ``member=>group``, ``id=>hypernym(上位)``, ``id=>opposite(反義)``.
+
+    A node may have several logs, one for each way it can be reached from the other nodes of its phrase. Members are named, whatever node
+    stood for their words.
+    """
+    plain = nodes.filter("not relation and not antonym").select("sid", "bp", F.col("id").alias("from")).distinct()
+    up = plain.join(lexicon.parents.select(F.col("synid").alias("from"), F.col("parent").alias("id")), "from").select("sid", "bp", "id", F.concat("from", F.lit("=>"), "id", F.lit("(上位)")).alias("log"))
+    over = plain.join(lexicon.antonyms.select(F.col("synid").alias("from"), F.col("other").alias("id")), "from").select("sid", "bp", "id", F.concat("from", F.lit("=>"), "id", F.lit("(反義)")).alias("log"))
+    head = nodes.select("sid", "bp", F.col("id").alias("node_id")).distinct().join(head_index(lexicon.members), "node_id")
+    same = head.select("sid", "bp", F.col("synid").alias("id"), F.concat(F.array_join("words", "+"), F.lit("=>"), "synid").alias("log"))
+    have = nodes.select("sid", "bp", "id", "relation", "antonym").distinct()
+    kinds = have.select("sid", "bp", "id", "relation", "antonym")
+    one = kinds.filter("relation").select("sid", "bp", "id").join(up, ["sid", "bp", "id"])
+    two = kinds.filter("antonym").select("sid", "bp", "id").join(over, ["sid", "bp", "id"])
+    three = kinds.select("sid", "bp", "id").distinct().join(same, ["sid", "bp", "id"])
+    made = one.unionByName(two).unionByName(three).distinct()
+    bare = kinds.select("sid", "bp", "id").distinct().join(made.select("sid", "bp", "id").distinct(), ["sid", "bp", "id"], "left_anti")
+    return made.unionByName(bare.withColumn("log", F.col("id")))
+
+
+def inspect_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line_no, members, parents, n_children): what a lexicon holds of each group. groups: (line_no, word); edges: (child, parent)."""
+    g = groups.select("line_no", "word").distinct()
+    up = g.join(edges.select(F.col("child").alias("word"), "parent").distinct(), "word").groupBy("line_no").agg(F.array_join(F.array_sort(F.collect_set("parent")), "|").alias("parents"))
+    n = edges.distinct().groupBy(F.col("parent").alias("word")).agg(F.count(F.lit(1)).alias("k"))
+    down = g.join(n, "word").groupBy("line_no").agg(F.sum("k").alias("n_children"))
+    m = g.groupBy("line_no").agg(F.array_join(F.array_sort(F.collect_set("word")), "|").alias("members"))
+    out = m.join(up, "line_no", "left").join(down, "line_no", "left")
+    return out.select("line_no", "members", F.coalesce("parents", F.lit("")).alias("parents"), F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"))

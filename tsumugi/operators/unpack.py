@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.runtime import Scratch, lookup
+
 #: The separators, by the name of the candidate, as bodies of character classes.
 CANDIDATES = {
     "blank": r"\s\u001c-\u001f\u0085\p{Z}",
@@ -27,11 +29,16 @@ REGULAR = r"\A(?:[\p{IsHan}々ー]+|[\p{IsHan}々\p{IsHiragana}\p{IsKatakana}ー
 
 
 def infer_delimiters(df: DataFrame, source: str, packed: str) -> DataFrame:
-    """For each source the candidate that separates it best: (source, delimiter, score).
+    """For each source the candidate that separates it best: (source, delimiter, score). See :func:`profile_sources`."""
+    return profile_sources(df, source, packed).filter("delimiter is not null").select("source", "delimiter", "score")
+
+
+def profile_sources(df: DataFrame, source: str, packed: str) -> DataFrame:
+    """(source, lines, delimiter, score): each source's number of lines and the candidate that separates it best, null if none does.
 
     A candidate's score is the product of the share of the source's lines it cuts, the consistency of the number of pieces
     among those lines (1 / (1 + deviation / mean)) and the share of pieces that look like one value. Counting combines before
-    the shuffle, so a source may hold any share of the rows. Sources without any separator have no row.
+    the shuffle, so a source may hold any share of the rows.
     """
     lines = df.filter(F.col(packed).isNotNull()).select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(packed).alias("line"))
     each = []
@@ -54,11 +61,9 @@ def infer_delimiters(df: DataFrame, source: str, packed: str) -> DataFrame:
         F.sum(F.when(cut, F.col("n"))).alias("pieces"),
         F.sum(F.when(cut, F.col("regular"))).alias("regular"),
     )
-    scored = stats.filter("cut > 0").select(
-        "source", "delimiter", F.round(F.col("cut") / F.col("lines") / (1 + F.col("dev") / F.col("mean")) * F.col("regular") / F.col("pieces"), 6).alias("score")
-    )
-    first = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "delimiter"))
-    return scored.withColumn("k", first).filter("k = 1").drop("k")
+    score = F.round(F.col("cut") / F.col("lines") / (1 + F.col("dev") / F.col("mean")) * F.col("regular") / F.col("pieces"), 6)
+    best = F.min(F.when(F.col("cut") > 0, F.struct((-score).alias("minus"), "delimiter"))).alias("best")
+    return stats.groupBy("source").agg(F.max("lines").alias("lines"), best).select("source", "lines", "best.delimiter", (-F.col("best.minus")).alias("score"))
 
 
 def _unquoted(token: Column) -> Column:
@@ -78,9 +83,10 @@ def unpack(df: DataFrame, key: str, packed: str, source: str) -> DataFrame:
     kind. Null, empty and blank fields give no rows; an unclosed quotation mark, or one followed by more text, belongs to its
     word; very long fields are cut like short ones. Rows with the same key are cut each for itself.
     """
-    best = infer_delimiters(df, source, packed)
+    best = Scratch(df.sparkSession, "sources").write(profile_sources(df, source, packed).select("source", "delimiter", "lines"), "sources")
+    total = best.agg(F.sum("lines")).first()[0] or 0
     lines = df.filter(F.col(packed).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(packed).alias("line"))
-    lines = lines.join(best.select("source", "delimiter"), "source", "left")
+    lines = lookup(lines, best, "source", "lines", total, apart=True)
     plain = F.when(F.col("line").rlike(ANY_QUOTE), F.lit(None))
     for name, body in CANDIDATES.items():
         others = "".join(b for n, b in CANDIDATES.items() if n not in (name, "blank"))

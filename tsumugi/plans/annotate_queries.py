@@ -10,7 +10,7 @@ from ..functions.runtime import filled, table
 from ..functions.strings import base_of
 from ..operators import annotate as A
 from ..operators import similarity as M
-from ..operators.analyzer import chain_trees, words
+from ..operators.analyzer import case_phrases, chain_trees, words
 from ..operators.tree_match import annotate_table
 from .fixtures import ANTONYMS, MEMBERS, WHOLE, inline, lexicon, name_trees, nodes_sql, part_trees, values
 from .lexicon_queries import _G, groups, isa, web
@@ -282,4 +282,39 @@ def _(s, d):
     return A.flat_matches(trees, phrases).toDF("doc_id", "bp", "item_id")
 
 
+@query(
+    "q_node_logs",
+    NODES
+    + """, plain AS (SELECT DISTINCT sid, bp, id AS f FROM nodes WHERE NOT relation AND NOT antonym), made AS (
+  SELECT DISTINCT n.sid, n.bp, n.id, p.f || '=>' || n.id || '(上位)' AS log FROM nodes n JOIN plain p USING (sid, bp) JOIN par ON par.synid = p.f AND par.parent = n.id WHERE n.relation
+  UNION SELECT n.sid, n.bp, n.id, p.f || '=>' || n.id || '(反義)' FROM nodes n JOIN plain p USING (sid, bp) JOIN ant ON ant.synid = p.f AND ant.other = n.id WHERE n.antonym
+  UNION SELECT n.sid, n.bp, n.id, replace(m.expression, ' ', '+') || '=>' || n.id FROM nodes n JOIN mem m ON m.synid = n.id JOIN nodes h ON h.sid = n.sid AND h.bp = n.bp AND h.id = string_split(m.expression, ' ')[-1])
+SELECT sid AS p_partkey, CAST(bp AS INT) AS bp, id AS node_id, log FROM made UNION SELECT sid, CAST(bp AS INT), id, id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.sid = n.sid AND m.bp = n.bp AND m.id = n.id)""",
+)
+def _(s, d):
+    return A.node_logs(part_nodes(s, d), lexicon(s)).select(F.col("sid").alias("p_partkey"), "bp", F.col("id").alias("node_id"), "log")
+
+
+@query(
+    "q_group_inspector",
+    _G
+    + """, u AS (SELECT DISTINCT line_no, word FROM g), e AS (SELECT DISTINCT hyponym AS child, hypernym AS parent FROM isa WHERE hyponym <> '' AND hypernym <> ''),
+up AS (SELECT line_no, string_agg(DISTINCT parent, '|' ORDER BY parent) AS parents FROM u JOIN e ON e.child = u.word GROUP BY line_no), dn AS (SELECT line_no, count(*) AS n FROM u JOIN e ON e.parent = u.word GROUP BY line_no),
+m AS (SELECT line_no, string_agg(word, '|' ORDER BY word) AS members FROM u GROUP BY line_no)
+SELECT line_no, members, coalesce(parents, '') AS parents, coalesce(n, 0) AS n_children FROM m LEFT JOIN up USING (line_no) LEFT JOIN dn USING (line_no)""",
+)
+def _(s, d):
+    e = isa(s, d).filter(filled("hypo") & filled("hyper")).select(F.col("hypo").alias("child"), F.col("hyper").alias("parent"))
+    return A.inspect_groups(groups(s, d), e)
+
+
+@query(
+    "q_case_phrases",
+    """WITH x AS (SELECT def_id, regexp_extract_all(def, '([一-鿿々ァ-ヺーA-Za-zÀ-ÿ]+)(を|に|で|が|と)', 1) AS w, regexp_extract_all(def, '([一-鿿々ァ-ヺーA-Za-zÀ-ÿ]+)(を|に|で|が|と)', 2) AS c FROM definition),
+y AS (SELECT def_id, w, c, unnest(generate_series(1, len(w))) AS i FROM x) SELECT def_id, CAST(i - 1 AS INT) AS pos, w[i] AS word, c[i] AS "case" FROM y""",
+)
+def _(s, d):
+    return case_phrases(table(s, d, "definition", "def_id", "def"), "def_id", F.col("def"))
+
+
 QUERIES = Q
