@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.runtime import Scratch, filled, ship
+from ..functions.runtime import Scratch, filled, lookup, ship
 
 # Groups of characters that look the same, after canonical decomposition.
 LOOK_ALIKE = (
@@ -234,21 +234,25 @@ def look_alike_pairs(fields: list[tuple[str, DataFrame]]) -> DataFrame:
         all_rows = part if all_rows is None else all_rows.unionByName(part)
     model = train(all_rows)
     forms = canonical_forms(all_rows, model, ["field", "id"])
-    hashed = forms.select("field", "id", F.xxhash64("form").alias("f"), F.xxhash64("value").alias("v"), "value")
+    hashed = forms.select("field", "id", F.xxhash64("field", "form").alias("f"), F.xxhash64("value").alias("v"), "value")
     rows = scratch.write(hashed, "forms")
-    several = rows.groupBy("field", "f").agg(F.min("v").alias("v0"), F.max("v").alias("v1")).filter("v0 <> v1").select("field", "f")
-    exact = scratch.write(rows.join(several, ["field", "f"], "left_semi").select("field", "id", "f", "value"), "several")
+    per = rows.groupBy("f").agg(F.min("v").alias("v0"), F.max("v").alias("v1"), F.count(F.lit(1)).alias("n"))
+    several = per.filter("v0 <> v1").select("f", F.lit(True).alias("several"), "n")
+    exact = scratch.write(lookup(rows, several, "f", "n", rows.count()).select("field", "id", "f", "value"), "several")
     scratch.drop(rows)
     spelled = exact.groupBy("field", "f", "value").agg(F.count(F.lit(1)).alias("n"))
-    spelled = canonical_forms(spelled, model, ["field", "f", "n"])
-    spelled = scratch.write(spelled, "spellings")
+    spelled = scratch.write(canonical_forms(spelled, model, ["field", "f", "n"]), "spellings")
     x, y = spelled.alias("x"), spelled.alias("y")
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.value") < F.col("y.value")))
     pairs = x.join(y, (F.col("x.field") == F.col("y.field")) & (F.col("x.form") == F.col("y.form")) & larger).select(
         F.col("x.field").alias("field"), F.col("x.value").alias("many"), F.col("y.value").alias("few")
     )
+    # every spelling with the more frequent ones it pairs with: hot ones are known, whether they have any or not
+    named = F.concat_ws("\x00", "field", "value").alias("key")
+    over = pairs.groupBy("field", F.col("few").alias("value")).agg(F.collect_list("many").alias("over"))
+    over = spelled.select("field", "value", "n").join(over, ["field", "value"], "left").select(named, "over", "n")
     ids = exact.select("field", "value", "id")
-    one = pairs.join(ids.select("field", F.col("value").alias("few"), F.col("id").alias("i")), ["field", "few"]).select("field", "many", "i")
-    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    one = lookup(ids.select("field", F.col("id").alias("i"), named), over, "key", "n", exact.count())
+    one = one.select("field", "i", F.explode("over").alias("many")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     other = ids.select("field", F.col("value").alias("many"), F.col("id").alias("j"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     return one.join(other, ["field", "many", "salt"]).select("field", F.least("i", "j").alias("id1"), F.greatest("i", "j").alias("id2"))
