@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 #: A field: enclosed as a whole in double quotes, doubled inside, or without any.
 FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^\t"]*+)'
 LINE = rf"(?s)\A{FIELD}(?:\t{FIELD})*+\z"
-THREE = rf"(?s)\A({FIELD})\t({FIELD})\t({FIELD})\z"
+EACH = rf"(?s)\t({FIELD})"
 WORD_ID = r"(?s)\A.+:([0-9]+)/([0-9]+)\z"
 
 
-def _value(part: int) -> Column:
-    raw = F.regexp_extract("raw", THREE, part)
-    return F.when(raw.startswith('"'), F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+def _fields() -> Column:
+    """The fields of a well-formed line, null for any other. Lines without quotation marks are just cut."""
+
+    def value(raw: Column) -> Column:
+        return F.when(raw.startswith('"'), F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+
+    raw = F.col("raw")
+    quoted = F.when(raw.rlike(LINE), F.transform(F.regexp_extract_all(F.concat(F.lit("\t"), raw), F.lit(EACH), F.lit(1)), value))
+    return F.when(raw.contains('"'), quoted).otherwise(F.split(raw, "\t"))
 
 
 def _not_above(a: Column, b: Column) -> Column:
@@ -24,12 +30,11 @@ def _not_above(a: Column, b: Column) -> Column:
 
 def _parsed(lines: DataFrame, offset: str, raw: str) -> DataFrame:
     df = lines.select(F.col(offset).alias("offset"), F.col(raw).alias("raw"))
-    three = F.coalesce(F.col("raw").rlike(THREE), F.lit(False))
-    df = df.withColumn("three", three)
-    for k, name in enumerate(("word_id", "sense_text", "sense_type"), 1):
-        df = df.withColumn(name, F.when(F.col("three"), _value(k)))
-    m, n = (F.regexp_replace(F.regexp_extract("word_id", WORD_ID, k), "^0+", "") for k in (1, 2))
-    return df.withColumns({"has_id": F.col("word_id").rlike(WORD_ID), "m": m, "n": n})
+    df = df.withColumn("fields", _fields()).withColumn("three", F.coalesce(F.size("fields") == 3, F.lit(False)))
+    df = df.withColumns({n: F.when(F.col("three"), F.col("fields")[k]) for k, n in enumerate(("word_id", "sense_text", "sense_type"))})
+    df = df.withColumn("has_id", F.col("word_id").rlike(WORD_ID))
+    m, n = (F.when(F.col("has_id"), F.regexp_replace(F.regexp_extract("word_id", WORD_ID, k), "^0+", "")) for k in (1, 2))
+    return df.withColumns({"m": m, "n": n})
 
 
 def _sense_fits() -> Column:
@@ -54,7 +59,7 @@ def rejected(lines: DataFrame, offset: str, raw: str) -> DataFrame:
     good = load_valid(lines, offset, raw).select("offset")
     rest = lines.select(F.col(offset).alias("offset"), F.col(raw).alias("raw")).join(good, "offset", "left_anti")
     reason = (
-        F.when(F.col("raw").isNotNull() & ~F.col("raw").rlike(LINE), "quote")
+        F.when(F.col("raw").isNotNull() & F.col("fields").isNull(), "quote")
         .when(~F.col("three"), "columns")
         .when(~F.col("has_id"), "word_id")
         .when(~_sense_fits(), "sense")
