@@ -45,7 +45,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     phrase = F.col("kind") == "phrase"
     return df.select(
         F.coalesce(sid, F.col("record").cast("string")).alias("sid"), "line", "kind", F.col("bp").cast("int").alias("bp"),
-        F.when(phrase, F.regexp_extract("text", head, 1).cast("int")).alias("parentbp"), F.when(phrase, F.regexp_extract("text", head, 2)).alias("dpndtype"), "text",
+        F.when(phrase, F.regexp_extract("text", head, 1).try_cast("int")).alias("parentbp"), F.when(phrase, F.regexp_extract("text", head, 2)).alias("dpndtype"), "text",
     )
 
 
@@ -115,7 +115,7 @@ def cases(parsed_phrase: Column) -> Column:
     """(case, child phrase) pairs of a case analysis ``<格解析結果:verb:frame:ガ/C/word/bp/...;ヲ/...>``; N is what the phrase itself modifies."""
     body = F.regexp_extract(parsed_phrase, "<格解析結果:[^:>]+:[^:>]+:([^>]+)>", 1)
     each = F.filter(F.split(body, ";"), lambda x: x.rlike("^[^/]+/[^UN/][^/]*/[^/]*/[0-9]+"))
-    return F.transform(each, lambda x: F.struct(F.split_part(x, F.lit("/"), F.lit(1)).alias("case"), F.split_part(x, F.lit("/"), F.lit(4)).cast("int").alias("childbp")))
+    return F.transform(each, lambda x: F.struct(F.split_part(x, F.lit("/"), F.lit(1)).alias("case"), F.split_part(x, F.lit("/"), F.lit(4)).try_cast("int").alias("childbp")))
 
 
 def virtual_edges(phrases: DataFrame) -> DataFrame:

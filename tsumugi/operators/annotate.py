@@ -82,6 +82,12 @@ def _covered(*parts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
 
 
+def children(trees: DataFrame) -> DataFrame:
+    """(sid, kids): the children of each phrase of a sentence, as a map."""
+    per = trees.groupBy("sid", "bp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("childbp")))).alias("childbp"))
+    return per.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("bp", "childbp"))).alias("kids"))
+
+
 def _synonyms(nodes: DataFrame, kids: DataFrame, heads: DataFrame) -> DataFrame:
     """Nodes of groups whose member is found at a phrase: members of one word, and of two words along one dependency."""
     n = nodes.filter("weight > 0").withColumnRenamed("id", "node_id").join(heads, "node_id").filter((F.col("child_num") <= F.size("childbp")) & (F.col("synid") != F.split_part(F.col("sid").cast("string"), F.lit(","), F.lit(1))))
@@ -114,7 +120,7 @@ def _synonyms(nodes: DataFrame, kids: DataFrame, heads: DataFrame) -> DataFrame:
     )
     columns = [*nodes.columns, "covered"]
     new = one.select(*columns).unionByName(both.select(*columns)).join(kids, "sid")
-    below = F.flatten(F.transform("covered", lambda b: F.element_at("kids", b + 1)))
+    below = F.flatten(F.transform("covered", lambda b: F.coalesce(F.element_at("kids", b), F.array().cast("array<int>"))))
     return new.withColumns(
         {
             "matchbp": F.array_except("covered", F.array("bp")),
@@ -137,8 +143,7 @@ def attach(trees: DataFrame, lexicon: Lexicon, options: NodeOptions | None = Non
     threshold = None if options.recursive else options.threshold
     scratch = Scratch(trees.sparkSession, "attach")
     trees = trees.dropDuplicates(["sid", "bp", "id"])
-    kids = trees.groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bp", "childbp"))).alias("k")).select("sid", F.transform("k", lambda x: x["childbp"]).alias("kids"))
-    kids = scratch.write(kids, "kids")
+    kids = scratch.write(children(trees), "kids")
     heads = head_index(lexicon.members)
     once = NodeOptions(**{**options.__dict__, "recursive": False})
     nodes = scratch.write(register(expand(basic_nodes(trees), lexicon, once), threshold), "nodes")
@@ -257,8 +262,7 @@ def memory_matches(nodes: DataFrame, trees: DataFrame, memory: DataFrame, most:
     m = memory
     if target is not None:
         m = m.filter(F.exists("mvalue", lambda v: F.contains(F.lit(target), v)))
-    kids = trees.groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bp", "childbp"))).alias("k")).select("sid", F.transform("k", lambda x: x["childbp"]).alias("kids"))
-    found = _synonyms(nodes, kids, head_index(m.select(F.col("stid").alias("synid"), "words")))
+    found = _synonyms(nodes, children(trees), head_index(m.select(F.col("stid").alias("synid"), "words")))
     best = found.groupBy("sid", "bp", F.col("id").alias("stid"), F.array_sort(F.array_append("matchbp", F.col("bp"))).alias("covered")).agg(F.max(F.col("score") / SYNONYM).alias("score"))
     k = F.row_number().over(Window.partitionBy("sid", "covered").orderBy(F.desc("score"), "stid"))
     return best.withColumn("k", k).filter(F.col("k") <= most).drop("k")

@@ -374,7 +374,7 @@ def word_to_groups(groups: DataFrame) -> DataFrame:
 def sense_inventory(senses: DataFrame, groups: DataFrame) -> DataFrame:
     """(word, m, line_no): the groups that hold a word in one of its listed senses."""
     tagged = groups.select("line_no", base_of(F.col("word")).alias("word"), F.regexp_extract(sense_of(F.col("word")), "([0-9]+)/[0-9]+$", 1).alias("m")).filter("m <> ''")
-    return tagged.withColumn("m", F.col("m").cast("int")).join(senses.select("word", "m").distinct(), ["word", "m"]).select("word", "m", "line_no").distinct()
+    return tagged.withColumn("m", F.col("m").try_cast("int")).join(senses.select("word", "m").distinct(), ["word", "m"]).select("word", "m", "line_no").distinct()
 
 
 def pair_report(pairs: DataFrame, frequencies: DataFrame, renames: DataFrame) -> DataFrame:
