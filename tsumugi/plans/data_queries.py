@@ -8,7 +8,7 @@ from ..functions.runtime import table
 from ..operators.hierarchy import descendant_counts, hierarchy
 from ..operators.skew import key_statistics
 from ..operators.strict_load import load_valid, rejected
-from ..operators.unpack import infer_delimiters, unpack
+from ..operators.unpack import PAIRS, STRAIGHT, infer_delimiters, unpack
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,18 @@ ids AS (SELECT *, regexp_full_match(word_id, '(?s).+:[0-9]+/[0-9]+') AS has_id,
   try_cast(regexp_extract(word_id, ':([0-9]+)/[0-9]+$', 1) AS HUGEINT) AS m, try_cast(regexp_extract(word_id, ':[0-9]+/([0-9]+)$', 1) AS HUGEINT) AS n FROM fields)
 """
 
+_SEPARATORS = r"\s\x{1c}-\x{1f}\x{85}\p{Z},，、､﹐﹑;；﹔|｜¦￤"
+_MARKED = "(?:" + "|".join([f"{q}[^{q}]*(?:{q}{q}[^{q}]*)*{q}" for q in STRAIGHT] + [f"{o}[^{c}]*{c}" for o, c in PAIRS]).replace("'", "''") + ")"
+_SINGLE = "'" * 4
+
 SQL = {
+    "p3_found": f"""
+WITH t AS (SELECT line_no, regexp_extract_all(syn_list, '(?s){_MARKED}(?:[{_SEPARATORS}]+|$)|[^{_SEPARATORS}]+') AS t FROM synonym),
+u AS (SELECT line_no, list_transform(t, lambda x: regexp_replace(x, '[{_SEPARATORS}]+$', '')) AS t FROM t),
+v AS (SELECT line_no, list_filter(list_transform(t, lambda x: CASE WHEN regexp_full_match(x, '(?s){_MARKED}') THEN
+  CASE WHEN x[1] IN ('"', {_SINGLE}, '＂', '＇') THEN replace(x[2:-2], x[1] || x[1], x[1]) ELSE x[2:-2] END ELSE x END), lambda x: x <> '') AS t FROM u)
+SELECT line_no, CAST(i AS INT) AS pos, t[i] AS word FROM (SELECT line_no, t, unnest(generate_series(1, len(t))) AS i FROM v)
+""",
     "p2_found": f"""
 WITH RECURSIVE {_TREE},
 left_over AS (SELECT * FROM edges WHERE node NOT IN (SELECT node FROM tree)),
