@@ -54,6 +54,15 @@ SELECT min(pair_id) AS first_id, count(*) AS n_copies FROM k GROUP BY least(a, b
 """
 
 SQL = {
+    "p1_found": """
+WITH RECURSIVE ends AS (SELECT pair_id, word1 AS w FROM synonym_web_news WHERE word1 <> '' UNION ALL SELECT pair_id, word2 FROM synonym_web_news WHERE word2 <> ''),
+edges AS (SELECT word1 AS a, word2 AS b FROM synonym_web_news WHERE word1 <> '' AND word2 <> '' UNION SELECT word2, word1 FROM synonym_web_news WHERE word1 <> '' AND word2 <> ''),
+cc(w, label) USING KEY (w) AS (
+  SELECT w, min(pair_id) FROM ends GROUP BY w
+  UNION
+  SELECT e.b, min(c.label) FROM cc c JOIN edges e ON e.a = c.w JOIN recurring.cc r ON r.w = e.b WHERE c.label < r.label GROUP BY e.b)
+SELECT pair_id, coalesce(x.label, y.label, pair_id) AS group_id FROM synonym_web_news p LEFT JOIN cc x ON x.w = p.word1 LEFT JOIN cc y ON y.w = p.word2
+""",
     "p5_found": _RECORDS + "HAVING count(*) > 1",
     "p5_records": _RECORDS,
 }
