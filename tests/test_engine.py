@@ -15,7 +15,7 @@ from tsumugi.operators.tree_match import LocalLexicon, Node, annotate, chain, si
 from tsumugi.sources import readers, writers
 from tsumugi.streaming.annotate_stream import annotate_stream, windowed_counts, word_nodes
 
-RECORD = """# S-ID:article-1 KNP:3
+RECORD = """# S-ID:article-1 SCORE:3
 * 2D <体言>
 + 2D <体言><係:ニ格>
 ホテル ほてる ホテル 名詞 6 普通名詞 1 * 0 * 0 "代表表記:ホテル/ほてる" <代表表記:ホテル/ほてる><内容語>
