@@ -257,6 +257,18 @@ def test_components_of_groups(spark):
     assert got == {**{k: 1 for k in range(1, 41)}, 90: 90, 91: 91, 95: 91}
 
 
+def test_pairs_of_large_groups(spark):
+    words = [f"w{k:02d}" for k in range(41)]
+    groups = spark.createDataFrame([(1, k, w) for k, w in enumerate(words)] + [(2, 0, "w00"), (2, 1, "x"), (2, 2, "x")], "line_no bigint, ord int, word string")
+    wanted = {(1, a, b) for a in words for b in words if a < b} | {(2, "w00", "x")}
+    got = [tuple(x) for x in E.group_pairs(groups).collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+    pairs = spark.createDataFrame([(1, "w40", "w00"), (2, "w01", "x"), (3, "x", "w00"), (4, "w00", "w00"), (5, None, "w00"), (6, "w07", "zz")], "pair_id bigint, w1 string, w2 string")
+    met = E.pairs_in_groups(pairs, groups)
+    assert {tuple(x) for x in met.collect()} == {("w00", "w40"), ("w00", "x")}
+    assert {x["pair_id"] for x in E.without_pairs(pairs, met).collect()} == {2, 4, 5, 6}
+
+
 def test_near_cliques(spark):
     groups = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "c"), (3, 0, "a"), (3, 1, "d")], "line_no bigint, ord int, word string")
     got = {x["line_no"]: (x["joins"], x["n"]) for x in E.near_cliques(groups, spark.createDataFrame([("b", "c")], "w1 string, w2 string")).collect()}

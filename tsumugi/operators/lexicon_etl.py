@@ -115,11 +115,26 @@ def normalise_pairs(pairs: DataFrame) -> DataFrame:
     return ok.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_pairs(groups: DataFrame, most: int = MAX_GROUP) -> DataFrame:
-    """Pairs of different members of each group of bounded size, in order."""
-    words = limit_groups(groups, most).join(groups, "line_no").groupBy("line_no").agg(F.sort_array(F.collect_set("word")).alias("ws"))
-    left = words.select("line_no", "ws", F.explode("ws").alias("w1"))
-    return left.select("line_no", "w1", F.explode("ws").alias("w2")).filter("w1 < w2")
+def group_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs of different members of each group, in order; groups may have any size."""
+    words = groups.filter("line_no is not null").groupBy("line_no").agg(F.sort_array(F.collect_set("word")).alias("ws"))
+    left = words.select("line_no", "ws", F.posexplode("ws").alias("i", "w1"))
+    return left.select("line_no", "w1", F.explode(F.slice("ws", F.col("i") + 2, F.size("ws"))).alias("w2"))
+
+
+def pairs_in_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(w1, w2), in order and once each: those of the pairs whose words stand in one group of any size.
+
+    A pair goes to the groups of its rarer word and is looked for there, so groups aren't expanded.
+    """
+    once = groups.filter("line_no is not null").select("line_no", "word").distinct()
+    n = once.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    stated = pairs.select(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")).filter("w1 < w2").distinct()
+    both = stated.join(n.toDF("w1", "n1"), "w1").join(n.toDF("w2", "n2"), "w2")
+    rarer = F.col("n1") <= F.col("n2")
+    sent = both.select("w1", "w2", F.when(rarer, F.col("w1")).otherwise(F.col("w2")).alias("word"), F.when(rarer, F.col("w2")).otherwise(F.col("w1")).alias("other"))
+    met = sent.join(once, "word").join(once.withColumnRenamed("word", "other"), ["line_no", "other"], "left_semi")
+    return met.select("w1", "w2").distinct()
 
 
 def connected_groups(groups: DataFrame) -> DataFrame:

@@ -301,7 +301,7 @@ SELECT pair_id, word1 AS w1, word2 AS w2 FROM synonym_web_news p WHERE NOT EXIST
 )
 def _(s, d):
     pairs = table(s, d, "synonym_web_news", "pair_id", "word1", "word2").toDF("pair_id", "w1", "w2")
-    return E.without_pairs(pairs, E.group_pairs(groups(s, d)))
+    return E.without_pairs(pairs, E.pairs_in_groups(pairs, groups(s, d)))
 
 
 _SIMILAR = "sim AS (SELECT least(word1, word2) AS a, greatest(word1, word2) AS b, max(coalesce(freq, 0)) / 10.0 AS score FROM synonym_web_news WHERE word1 <> '' AND word2 <> '' GROUP BY ALL)"
