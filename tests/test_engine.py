@@ -275,6 +275,28 @@ def test_near_cliques(spark):
     assert got == {1: (2, 1), 2: (1, 1)}
 
 
+def test_chains_of_any_length(spark):
+    links = [(f"w{k:02d}", f"w{k + 1:02d}") for k in range(12)] + [("w00", "z"), ("z", "w02"), ("q", "r"), ("w05", "w05"), (None, "w01"), ("", "w02")]
+    near = {}
+    for a, b in links:
+        if a and b and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    wanted = {}
+    for start in ("w00", "q", "lonely"):
+        level = {start: [start]}
+        while level:
+            wanted.update({(start, w): p for w, p in level.items()})
+            level = {w: min(p + [w] for x, p in level.items() if w in near.get(x, ())) for w in {y for x in level for y in near.get(x, ())} if (start, w) not in wanted}
+    table, starts = spark.createDataFrame(links, "w1 string, w2 string"), spark.createDataFrame([("w00",), ("q",), ("lonely",), (None,), ("q",)], "word string")
+    rows = E.chains(table, starts).collect()
+    got = {(x["start"], x["word"]): x["path"] for x in rows}
+    assert len(rows) == len(wanted) and got == wanted and all(x["steps"] == len(x["path"]) - 1 for x in rows)
+    assert got["w00", "w12"] == [f"w{k:02d}" for k in range(13)]
+    targets = spark.createDataFrame([("w00", "w07"), ("w00", "q"), ("q", "r"), ("lonely", "q")], "start string, word string")
+    assert {(x["start"], x["word"]): x["path"] for x in E.chains(table, starts, targets).collect()} == {k: wanted[k] for k in (("w00", "w07"), ("q", "r"))}
+
+
 def test_coordinates(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("e", "c"), ("x", "y"), ("y", "x")], "child string, parent string")
     cut = T.without_two_cycles(e)

@@ -7,6 +7,9 @@ several is by an explicit order, so results don't depend on partitioning.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -444,19 +447,35 @@ def shared_initial_reading(pairs: DataFrame) -> DataFrame:
     return pairs.filter((a != "") & (F.substring(a, 1, 1) == F.substring(b, 1, 1)))
 
 
-def chains(links: DataFrame, starts: DataFrame, most: int = 4) -> DataFrame:
-    """(start, word, steps): how many links away words are from each start, by frontier joins, up to so many steps."""
+def chains(links: DataFrame, starts: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(start, word, steps, path): how many links away words are from each start, and the words on the way, both ends included.
+
+    Breadth first by frontier joins until nothing is new, however long the chains; of the shortest paths the one that sorts first is given. With
+    ``targets`` (start, word) only those words are looked for, and a start is followed no further once it has met all of its own.
+    """
     scratch = Scratch(links.sparkSession, "chains")
     both = scratch.write(symmetric(links), "links")
-    reached = scratch.write(starts.filter(filled("word")).select(F.col("word").alias("start"), "word", F.lit(0).alias("steps")).distinct(), "reached")
-    frontier = reached
-    for step in range(1, most + 1):
-        new = frontier.join(both, F.col("word") == F.col("w1")).select("start", F.col("w2").alias("word"), F.lit(step).alias("steps")).distinct()
-        new = scratch.write(new.join(reached.select("start", "word"), ["start", "word"], "left_anti"), "frontier")
+    begin = starts.filter(filled("word")).select("word").distinct()
+    wanted = None if targets is None else scratch.write(targets.filter(filled("start") & filled("word")).select("start", "word").distinct(), "wanted")
+    if wanted is not None:
+        begin = begin.join(wanted.select(F.col("start").alias("word")).distinct(), "word", "left_semi")
+    frontier = scratch.write(begin.select(F.col("word").alias("start"), "word", F.lit(0).alias("steps"), F.array("word").alias("path")), "frontier")
+    rounds, near = [frontier], frontier.select("start", "word")
+    for step in count(1):
+        follow = frontier
+        if wanted is not None:
+            wanted = scratch.write(wanted.join(frontier, ["start", "word"], "left_anti"), "wanted")
+            follow = frontier.join(wanted.select("start").distinct(), "start", "left_semi")
+        met = follow.join(both, F.col("word") == F.col("w1")).groupBy("start", F.col("w2").alias("word")).agg(F.min("path").alias("path"))
+        # links go both ways, so whatever was reached before is of this round or the last one
+        met = met.join(near, ["start", "word"], "left_anti")
+        new = scratch.write(met.select("start", "word", F.lit(step).alias("steps"), F.array_append("path", F.col("word")).alias("path")), "frontier")
         if new.isEmpty():
             break
-        reached, frontier = reached.unionByName(new), new
-    return reached
+        rounds.append(new)
+        near, frontier = frontier.select("start", "word").unionByName(new.select("start", "word")), new
+    reached = reduce(DataFrame.unionByName, rounds)
+    return reached if targets is None else reached.join(targets.select("start", "word").distinct(), ["start", "word"], "left_semi")
 
 
 def surfaces(words: DataFrame) -> DataFrame:
