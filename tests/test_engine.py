@@ -275,6 +275,15 @@ def test_near_cliques(spark):
     assert got == {1: (2, 1), 2: (1, 1)}
 
 
+def test_near_cliques_of_large_groups(spark):
+    large = [f"w{k:02d}" for k in range(41)]
+    rows = [(1, k, w) for k, w in enumerate(large)] + [(2, 0, "w00"), (2, 1, "x"), (3, 0, "x"), (3, 1, "w00"), (3, 2, "y")]
+    groups = spark.createDataFrame(rows, "line_no bigint, ord int, word string")
+    links = [("x", "w05"), ("w06", "x"), ("x", "w00"), ("zz", "x")] + [(w, "y") for w in large[1:]]
+    got = {x["line_no"]: (x["joins"], x["n"]) for x in E.near_cliques(groups, spark.createDataFrame(links, "w1 string, w2 string")).collect()}
+    assert got == {1: (3, 1), 2: (1, 1), 3: (1, 1)}
+
+
 def test_chains_of_any_length(spark):
     links = [(f"w{k:02d}", f"w{k + 1:02d}") for k in range(12)] + [("w00", "z"), ("z", "w02"), ("q", "r"), ("w05", "w05"), (None, "w01"), ("", "w02")]
     near = {}

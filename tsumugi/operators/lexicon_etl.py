@@ -183,21 +183,23 @@ def containing_groups(groups: DataFrame) -> DataFrame:
     return small.join(large, "word").filter((F.col("inside") != F.col("line_no")) & fits).groupBy("line_no").agg(F.min("inside").alias("inside"), F.count(F.lit(1)).alias("n"))
 
 
-def near_cliques(groups: DataFrame, links: DataFrame, most: int = MAX_GROUP) -> DataFrame:
-    """(line_no, joins, n): groups that may join another one, the smallest such and their number.
+def near_cliques(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(line_no, joins, n): groups that may join another one, the smallest such and their number; groups may have any size.
 
     They share a word, and every other word of the group is linked to a word of the other that isn't shared. Candidates are
-    met on a shared word and a linked one together. The order in which groups come makes no difference.
+    met on linked words, which are fewer than shared ones; links of words that stand in no group are dropped first. The order
+    in which groups come makes no difference.
     """
-    sets = limit_groups(groups, most).join(groups, "line_no").groupBy("line_no").agg(F.sort_array(F.collect_set("word")).alias("ws"))
-    two = sets.select("line_no", "ws", F.explode("ws").alias("shared"))
-    two = two.select("line_no", "ws", "shared", F.explode("ws").alias("word")).filter("word <> shared")
-    reach = two.join(symmetric(links).select(F.col("w1").alias("word"), F.col("w2").alias("linked")), "word")
-    target = two.select(F.col("line_no").alias("joins"), F.col("ws").alias("big"), "shared", F.col("word").alias("linked"))
-    met = reach.join(target, ["shared", "linked"]).filter("line_no <> joins")
-    met = met.filter(~F.array_contains("big", F.col("word")) & ~F.array_contains("ws", F.col("linked")))
-    done = met.groupBy("line_no", "joins").agg(F.size(F.collect_set("word")).alias("k"), F.first(F.size(F.array_except("ws", "big"))).alias("needed"))
-    return done.filter("k = needed").groupBy("line_no").agg(F.min("joins").alias("joins"), F.count(F.lit(1)).alias("n"))
+    once = groups.filter("line_no is not null").select("line_no", "word").distinct()
+    sets = once.groupBy("line_no").agg(F.sort_array(F.collect_list("word")).alias("ws"))
+    known = once.select("word").distinct()
+    linked = symmetric(links).join(known.toDF("w1"), "w1", "left_semi").join(known.toDF("w2"), "w2", "left_semi")
+    met = linked.join(once.toDF("line_no", "w1"), "w1").join(once.toDF("joins", "w2"), "w2").filter("line_no <> joins")
+    met = met.groupBy("line_no", "joins").agg(F.collect_list(F.struct("w1", "w2")).alias("links"))
+    met = met.join(sets, "line_no").join(sets.toDF("joins", "big"), "joins").filter(F.arrays_overlap("ws", "big"))
+    apart = F.filter("links", lambda x: ~F.array_contains(F.col("big"), x["w1"]) & ~F.array_contains(F.col("ws"), x["w2"]))
+    k, needed = F.size(F.array_distinct(F.transform(apart, lambda x: x["w1"]))), F.size(F.array_except("ws", "big"))
+    return met.filter((k > 0) & (k == needed)).groupBy("line_no").agg(F.min("joins").alias("joins"), F.count(F.lit(1)).alias("n"))
 
 
 def number_senses(groups: DataFrame) -> DataFrame:
