@@ -120,20 +120,24 @@ class Scratch:
             pass
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, apart: bool = False) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int | None = None, apart: bool = False) -> DataFrame:
     """Inner join of many rows to one row a key, not slowed by hot keys.
 
-    ``right`` has one row a key, and in ``weight`` how many rows of ``left`` the key has, of ``total`` in all. Keys with more
+    ``right`` has one row a key, and in ``weight`` how many rows of ``left`` the key has, of ``total`` in all (their sum if it isn't given). Keys with more
     than one part in HOT_PARTS of the rows are at most HOT_PARTS many, so they are broadcast; all other rows are joined by shuffle.
 
     Both happen in one pass: a row served by the broadcast goes through the shuffle under a hash of itself, so that hot keys' rows
     spread evenly and alike whenever a lost task is run again; what it may meet there is not looked at. With ``apart``, for a
     left side that is cheap to read twice and mostly hot, rows of hot keys stay out of the shuffle instead.
     """
-    is_hot = F.col(weight) * HOT_PARTS > F.lit(total)
     values = [c for c in right.columns if c not in (key, weight)]
+    if total is None:
+        right = right.crossJoin(F.broadcast(right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("_total"))))  # one row
+        is_hot = F.col(weight) * HOT_PARTS > F.col("_total")
+    else:
+        is_hot = F.col(weight) * HOT_PARTS > F.lit(total)
     if apart:
-        hot, cold = F.broadcast(right.filter(is_hot).drop(weight)), right.filter(~is_hot).drop(weight)
+        hot, cold = F.broadcast(right.filter(is_hot).drop(weight, "_total")), right.filter(~is_hot).drop(weight, "_total")
         rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
         return left.join(hot, key).unionByName(rest.join(cold, key)).select(*left.columns, *values)
     packed = F.struct(*values)
@@ -147,6 +151,21 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return met.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
+def meet(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows to many on a key, not slowed by keys that are hot on the left.
+
+    A key with more than one part in HOT_PARTS of the left rows gets a salt for each such part: its left rows are dealt out by a hash of themselves, its right rows
+    are repeated for each salt. There are at most HOT_PARTS hot keys, and they alone are broadcast. The left side is read twice.
+    """
+    n = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.crossJoin(F.broadcast(n.agg(F.sum("_n").alias("_total")))).filter(F.col("_n") * HOT_PARTS > F.col("_total"))  # one row
+    hot = F.broadcast(n.filter(F.col(key).isNotNull()).select(key, F.ceil(F.col("_n") * HOT_PARTS / F.col("_total")).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def filled(c: str | Column) -> Column:
     """Neither null nor empty."""
     c = F.col(c) if isinstance(c, str) else c

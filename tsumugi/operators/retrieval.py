@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.config import DEPENDENCY_WEIGHT, PENALTY, QUERY_WEIGHT
-from ..functions.runtime import ship
-from .tree_match import Node, Tree, as_tree, chain
+from ..functions.config import B, K1, QUERY_WEIGHT
+from ..functions.runtime import Scratch, lookup, meet
+from .coverage import chain_coverage, exact_scores, first_places
 
 
 def term_nodes(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
@@ -36,14 +32,15 @@ def lengths(nodes: DataFrame) -> DataFrame:
 
 def bm25(tf: Column, df: Column, dl: Column, mean: Column, n: Column) -> Column:
     """The weight of an occurrence of a term, never below 0."""
-    return F.greatest(3.0 / ((0.5 + 1.5 * dl / mean) + tf) * F.log((n - df + 0.5) / (df + 0.5)), F.lit(0.0))
+    saturated = (K1 + 1) / (K1 * ((1 - B) + B * dl / mean) + tf)
+    return F.greatest(saturated * F.log((n - df + 0.5) / (df + 0.5)), F.lit(0.0))
 
 
 def weighted_terms(nodes: DataFrame) -> DataFrame:
     """(doc_id, id, tf, weight) for every term of every text. Texts without terms have no rows and don't count for the mean length."""
     tf, dl = term_frequencies(nodes), lengths(nodes)
     stats = dl.agg(F.avg("dl").alias("mean"), F.count(F.lit(1)).alias("n"))  # one row
-    w = tf.join(node_frequencies(tf), "id").join(dl, "doc_id").crossJoin(F.broadcast(stats))
+    w = lookup(tf.join(dl, "doc_id"), node_frequencies(tf).withColumn("rows", F.col("df")), "id", "rows").crossJoin(F.broadcast(stats))
     return w.select("doc_id", "id", "tf", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("mean"), F.col("n")).alias("weight"))
 
 
@@ -55,7 +52,7 @@ def postings(nodes: DataFrame) -> DataFrame:
 def rough_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query, doc_id, score): of each query phrase the best node, summed over phrases. queries: (query, bp, id, score, weight)."""
     q = queries.select("query", "bp", "id", (F.col("score") * F.col("weight")).alias("q"))
-    best = q.join(index, "id").groupBy("query", "doc_id", "bp").agg(F.max(F.col("q") * F.col("score")).alias("s"))
+    best = meet(index, q, "id").groupBy("query", "doc_id", "bp").agg(F.max(F.col("q") * F.col("score")).alias("s"))
     return best.filter("s > 0").groupBy("query", "doc_id").agg(F.sum("s").alias("score"))
 
 
@@ -77,139 +74,70 @@ def roll_up(scores: DataFrame, sentence: str) -> DataFrame:
     return scores.groupBy("query", F.split_part(F.col(sentence).cast("string"), F.lit(","), F.lit(1)).alias("doc_id")).agg(F.sum("score").alias("score"))
 
 
-@dataclass
-class Cover:
-    """How far a part of a query is covered: sums with and without the penalties that something else may cancel."""
-
-    weight: float = 0.0
-    dependencies: float = 0.0
-    match: float = 0.0
-    unmatch: float = 0.0
-    hit: float = 0.0
-    hit_unmatch: float = 0.0
-    cases: int = 0
-    reversed: bool = False
-    passive: bool = False
-    why: list = field(default_factory=list)
-
-    def add(self, other: Cover, clause: bool) -> None:
-        self.weight += other.weight
-        self.dependencies += other.dependencies
-        self.cases += other.cases
-        self.why += other.why
-        if clause:  # a clause of its own is settled before it counts
-            self.match += other.unmatch if other.reversed else other.match
-            self.unmatch += other.unmatch if other.reversed else other.match
-            self.hit += other.hit_unmatch if other.reversed else other.hit
-            self.hit_unmatch += other.hit_unmatch if other.reversed else other.hit
-        else:
-            self.match, self.unmatch, self.hit, self.hit_unmatch = self.match + other.match, self.unmatch + other.unmatch, self.hit + other.hit, self.hit_unmatch + other.hit_unmatch
-            self.reversed ^= other.reversed
-
-    def score(self) -> float:
-        total = self.weight + DEPENDENCY_WEIGHT * self.dependencies
-        bad = self.reversed or self.cases or self.passive
-        return ((self.unmatch if bad else self.match) + DEPENDENCY_WEIGHT * (self.hit_unmatch if bad else self.hit)) / total if total else 0.0
-
-
-def coverage(query: Tree, at: int, where: dict[str, list[tuple[int, Node]]], below: frozenset[int] | None = None, parent: bool = False, clauses: frozenset[int] = frozenset()) -> Cover:
-    """How a query's phrase and all below it are covered by a target, whose nodes are given by id with their phrase.
-
-    Of a phrase's nodes, and of the target's nodes for each, the one with the largest match counts; the first of equal ones. ``below`` are the
-    children of what the parent matched; a node found there is a dependency hit. Case, voice and polarity that differ cost, some of it
-    cancels: two case differences explain a reversed comparison or a passive, one explains a causative.
-    """
-    best: Cover | None = None
-    for q in query[at]:
-        made: Cover | None = None
-        for bp, t in where.get(q.id, ()):
-            c = Cover(q.weight, 1.0 if q.weight and parent else 0.0)
-            reversed_here = causative = False
-            if not (q.relation and t.relation):
-                c.match = c.unmatch = q.score * q.weight * t.score
-                if q.trait("case") and t.trait("case") and q.trait("case") != t.trait("case"):
-                    c.unmatch *= PENALTY["case"]
-                    c.cases = 1
-                for f in ("kanou", "sonnkei"):
-                    if bool(q.trait(f)) != bool(t.trait(f)):
-                        c.match *= PENALTY[f]
-                        c.unmatch *= PENALTY[f]
-                if bool(q.trait("ukemi")) != bool(t.trait("ukemi")):
-                    c.unmatch *= PENALTY["ukemi"]
-                    c.passive = True
-                if bool(q.trait("shieki")) != bool(t.trait("shieki")):
-                    c.unmatch *= PENALTY["shieki"]
-                    causative = True
-                if bool(q.trait("negation")) ^ bool(t.trait("negation")) ^ q.antonym ^ t.antonym:
-                    c.unmatch *= PENALTY["negation"]
-                    c.reversed = reversed_here = True
-                if below is not None and q.weight and parent and bp in below:
-                    c.hit = 1.0
-                kind = "isa" if q.relation or t.relation else "antonym" if q.antonym or t.antonym else "syn"
-                c.why = [(sorted({at, *q.covers}), sorted({bp, *t.covers}), kind)]
-            for child in sorted(q.children):
-                c.add(coverage(query, child, where, frozenset(t.children), q.weight != 0, clauses), child in clauses)
-            if q.children:
-                if c.cases == 2 and reversed_here:
-                    c.cases, c.reversed = 0, not c.reversed
-                if c.cases == 2 and c.passive:
-                    c.cases, c.passive = 0, False
-                if c.cases == 1 and causative:
-                    c.cases = 0
-            if made is None or c.match > made.match:
-                made = c
-        if made is None:
-            made = Cover(q.weight, 1.0 if q.weight and parent else 0.0)
-            for child in sorted(q.children):
-                made.add(coverage(query, child, where, None, True, clauses), child in clauses)
-        if best is None or made.match > best.match:
-            best = made
-    return best or Cover()
-
-
-def nodes_by_id(tree: Tree) -> dict[str, list[tuple[int, Node]]]:
-    where: dict[str, list[tuple[int, Node]]] = {}
-    for bp, nodes in enumerate(tree):
-        for n in nodes:
-            where.setdefault(n.id, []).append((bp, n))
-    return where
-
-
-def exact_score(query: Tree, target: Tree) -> float:
-    """Coverage of the query by the target times coverage of the target by the query."""
-    if not query or not target:
-        return 0.0
-    one = coverage(query, len(query) - 1, nodes_by_id(target)).score()
-    return one and one * coverage(target, len(target) - 1, nodes_by_id(query)).score()
-
-
-def exact_scores(pairs: DataFrame, keep: list[str], chains: bool = False) -> DataFrame:
-    """(keep..., score) of the trees in the columns ``query_tree`` and ``target_tree``, nested graphs or, as chains, arrays of words."""
-    ship(pairs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema) + ", score double"
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = (lambda x: chain(list(x))) if chains else as_tree
-        for pdf in batches:
-            yield pdf[keep].assign(score=[float(exact_score(make(a), make(b))) for a, b in zip(pdf["query_tree"], pdf["target_tree"])])
-
-    return pairs.select(*keep, "query_tree", "target_tree").mapInPandas(work, schema)
+def _candidates(scores: DataFrame, most: int) -> DataFrame:
+    return top(scores, "query", "doc_id", most).select(F.col("query").alias("a"), F.col("doc_id").alias("b"))
 
 
 def search(queries: DataFrame, docs: DataFrame, most: int = 100, least: float = 0.00001) -> DataFrame:
-    """(query, doc_id, score, rank): rough candidates, at most so many a query, ranked again by their trees; those below ``least`` are left out.
+    """(query, doc_id, score, rank): rough candidates, at most so many a query, ranked again exactly; those below ``least`` are left out.
 
-    queries: (query, words), docs: (doc_id, words), as chains. Queries and texts without words find nothing.
+    queries: (query, words), docs: (doc_id, words), as word chains. Queries and texts without words find nothing. Repeated ids are one text of all their words.
     """
-    q, t = queries.filter(F.size("words") > 0), docs.filter(F.size("words") > 0)
-    index = postings(term_nodes(t, "doc_id", F.col("words")))
-    nodes = q.select("query", F.posexplode("words").alias("bp", "id")).withColumns({"score": F.lit(1.0), "weight": F.lit(1.0)})
-    candidates = top(rough_scores(nodes, index), "query", "doc_id", most).select("query", "doc_id")
-    trees = candidates.join(q.withColumnRenamed("words", "query_tree"), "query").join(t.withColumnRenamed("words", "target_tree"), "doc_id")
-    scored = exact_scores(trees, ["query", "doc_id"], chains=True).filter(F.col("score") >= least)
+    scratch = Scratch(queries.sparkSession, "search")
+    q = queries.filter(F.size("words") > 0).select("query", F.posexplode("words").alias("bp", "id"))
+    t = docs.filter(F.size("words") > 0).select("doc_id", F.posexplode("words").alias("bp", "id"))
+    one = {"score": F.lit(1.0), "weight": F.lit(1.0)}
+    pairs = scratch.write(_candidates(rough_scores(q.withColumns(one), postings(t.withColumns(one))), most), "pairs")
+    texts = t.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    asked, told = q.withColumnRenamed("query", "a"), texts.withColumnRenamed("doc_id", "b")
+    there = chain_coverage(pairs, asked, first_places(told)).withColumnRenamed("score", "there")
+    swapped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    back = chain_coverage(swapped, told.withColumnRenamed("b", "a"), first_places(asked.withColumnRenamed("a", "b"))).select(F.col("a").alias("doc_id"), F.col("b").alias("query"), "score")
+    both = there.select(F.col("a").alias("query"), F.col("b").alias("doc_id"), "there").join(back, ["query", "doc_id"])
+    scored = both.select("query", "doc_id", (F.col("there") * F.col("score")).alias("score")).filter(F.col("score") >= least)
     return top(scored, "query", "doc_id", most)
 
 
+def search_graphs(queries: DataFrame, targets: DataFrame, most: int = 100, least: float = 0.00001, clauses: DataFrame | None = None) -> DataFrame:
+    """(query, doc_id, score, why, rank): :func:`search` over the nodes of annotated sentences, with the explanation of every match.
+
+    queries, targets: nodes. A sentence isn't its own result. clauses: (sid, bp) of phrases that are clauses of their own.
+    """
+    scratch = Scratch(queries.sparkSession, "search")
+    asked = queries.select(F.col("sid").alias("query"), "bp", "id", "score", "weight")
+    index = postings(targets.select(F.col("sid").alias("doc_id"), "id", "score", "weight"))
+    pairs = scratch.write(_candidates(rough_scores(asked, index), most), "pairs").filter("not a <=> b")
+    near = targets.join(pairs.select(F.col("b").alias("sid")).distinct(), "sid", "left_semi")
+    scored = exact_scores(pairs, queries, near, clauses).filter(F.col("score") >= least)
+    return top(scored.select(F.col("a").alias("query"), F.col("b").alias("doc_id"), "score", "why"), "query", "doc_id", most)
+
+
+def topic_search(queries: DataFrame, sentences: DataFrame, candidates: int = 1000, most: int = 300) -> DataFrame:
+    """(topic, doc_id, score, rank): evaluation of topics: rough candidates of a topic, ranked again by how their sentences cover its queries.
+
+    queries: (query, topic, type, words); sentences: (doc_id, sid, words), as word chains, sid unique. A matched word counts its term weight in the text times how often the
+    sentence has it, and a kept dependency what its two words weigh. A text's score is the sum over its sentences and the topic's
+    queries by the weight of their type; scores aren't normalised. Topics without matches have no rows.
+    """
+    scratch = Scratch(queries.sparkSession, "topics")
+    one = {"score": F.lit(1.0), "weight": F.lit(1.0)}
+    q = queries.filter(F.size("words") > 0).select("query", "topic", "type", F.posexplode("words").alias("bp", "id"))
+    s = sentences.filter(F.size("words") > 0).select("doc_id", "sid", F.posexplode("words").alias("bp", "id"))
+    weights = scratch.write(weighted_terms(s.withColumns(one)), "weights")
+    index = weights.select("id", "doc_id", (F.col("tf") * F.col("weight")).alias("score")).filter("score > 0")
+    found = scratch.write(top(topic_scores(q.withColumns(one), index), "topic", "doc_id", candidates).select("topic", "doc_id"), "found")
+    kinds = q.select("query", "topic", "type").distinct()
+    near = s.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = found.join(kinds, "topic").join(near.select("doc_id", "sid").distinct(), "doc_id").select(F.col("query").alias("a"), F.col("sid").alias("b")).distinct()
+    owner = near.select("sid", "doc_id").distinct()
+    places = first_places(near.select(F.col("sid").alias("b"), "bp", "id")).join(owner.withColumnRenamed("sid", "b"), "b")
+    places = places.join(weights.select("doc_id", "id", F.col("weight").alias("boost")), ["doc_id", "id"]).drop("doc_id")
+    scored = chain_coverage(pairs, q.select(F.col("query").alias("a"), "bp", "id"), places, evaluation=True).filter("score > 0")
+    weight = F.when(F.col("type") == "DESCRIPTION", QUERY_WEIGHT["DESCRIPTION"]).otherwise(QUERY_WEIGHT["OTHER"])
+    of = scored.withColumnsRenamed({"a": "query", "b": "sid"}).join(kinds, "query").join(owner, "sid")
+    return top(of.groupBy("topic", "doc_id").agg(F.sum(F.col("score") * weight).alias("score")), "topic", "doc_id", most)
+
+
 def distributional_similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """(w1, w2, score): the mean of overlap coefficient and Jaccard index of two words' features of positive association.
 

@@ -39,6 +39,10 @@ def part_nodes(s: SparkSession, d: str, options: NodeOptions | None = None) -> D
     return A.attach(part_trees(s, d), lexicon(s), options)
 
 
+def name_nodes(s: SparkSession, d: str) -> DataFrame:
+    return A.attach(name_trees(s, d), lexicon(s))
+
+
 @query(
     "q_basic_nodes",
     "SELECT p_partkey, CAST(i - 1 AS INT) AS bp, string_split(p_name, ' ')[i] AS node_id, CAST(1 AS DOUBLE) AS score, CAST(CASE WHEN i = 1 THEN 1 ELSE -1 END AS INT) AS parentbp, CAST(i - 1 AS INT) AS n_children FROM part, (VALUES (1), (2)) v(i)",

@@ -11,8 +11,9 @@ from ..operators import annotate as A
 from ..operators import isa_tree as T
 from ..operators import retrieval as R
 from ..operators.analyzer import words
-from .annotate_queries import NODES, part_nodes
-from .fixtures import MEMBERS, lexicon, part_trees, values
+from ..operators.coverage import counterparts, covered, exact_scores
+from .annotate_queries import NODES, name_nodes, next_pairs, part_nodes
+from .fixtures import MEMBERS, lexicon, nodes_sql, part_trees, values
 from .lexicon_queries import _BASE, _G, groups, isa, senses, web
 from .lexicon_queries import E as L
 
@@ -113,12 +114,107 @@ def _(s, d):
     return R.roll_up(named.drop("doc_id"), "sid").withColumn("score", F.round("score", 6))
 
 
-@query("q_exact_search")
+_CHAINS = f""", qw AS (SELECT query, bp, w AS id, n FROM (SELECT def_id AS query, t, len(t) AS n, unnest(generate_series(1, len(t))) AS bp, unnest(t) AS w FROM
+  (SELECT def_id, regexp_extract_all(lower(split_part({_BASE.format("midasi")}, '/', 1)), {_WORDS}) AS t FROM definition WHERE def_id % 20 = 0))),
+dw AS (SELECT doc_id, bp, w AS id, n FROM (SELECT def_id AS doc_id, len(t) AS n, unnest(generate_series(1, len(t))) AS bp, unnest(t) AS w FROM (SELECT def_id, regexp_extract_all(lower(def), {_WORDS}) AS t FROM definition))),
+qf AS (SELECT query, id, min(bp) AS seat, count(*) AS often FROM qw GROUP BY ALL), dfp AS (SELECT doc_id, id, min(bp) AS seat, count(*) AS often FROM dw GROUP BY ALL)"""
+
+
+@query(
+    "q_exact_search",
+    _DEFS
+    + _CHAINS
+    + """, cand AS (SELECT query, doc_id FROM (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM rough) WHERE rank <= 100),
+fm AS (SELECT c.query, c.doc_id, qw.bp, qw.n, f.seat, lead(f.seat) OVER (PARTITION BY c.query, c.doc_id ORDER BY qw.bp) AS nxt FROM cand c JOIN qw USING (query) LEFT JOIN dfp f ON f.doc_id = c.doc_id AND f.id = qw.id),
+bm AS (SELECT c.query, c.doc_id, dw.bp, dw.n, f.seat, lead(f.seat) OVER (PARTITION BY c.query, c.doc_id ORDER BY dw.bp) AS nxt FROM cand c JOIN dw USING (doc_id) LEFT JOIN qf f ON f.query = c.query AND f.id = dw.id),
+fs AS (SELECT query, doc_id, (count(seat) + 0.5 * count(*) FILTER (seat + 1 = nxt)) / (any_value(n) + 0.5 * (any_value(n) - 1)) AS s FROM fm GROUP BY ALL),
+bs AS (SELECT query, doc_id, (count(seat) + 0.5 * count(*) FILTER (seat + 1 = nxt)) / (any_value(n) + 0.5 * (any_value(n) - 1)) AS s FROM bm GROUP BY ALL),
+r AS (SELECT query, doc_id, round(fs.s * bs.s, 6) AS score, fs.s * bs.s AS raw FROM fs JOIN bs USING (query, doc_id) WHERE fs.s * bs.s >= 0.00001)
+SELECT query, doc_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INT) AS rank FROM r""",
+)
 def _(s, d):
     docs = table(s, d, "definition", "def_id", "def").select(F.col("def_id").alias("doc_id"), words(F.col("def")).alias("words"))
     return R.search(query_words(s, d).select("query", "words"), docs)
 
 
+@query(
+    "q_topic_search",
+    _DEFS
+    + _CHAINS
+    + """, topics AS (SELECT DISTINCT query, topic, type FROM q), tsum AS (SELECT topic, doc_id, round(sum(score * CASE WHEN type = 'DESCRIPTION' THEN 1.0 ELSE 0.5 END), 6) AS score FROM rough GROUP BY ALL), tcand AS (SELECT topic, doc_id FROM (SELECT topic, doc_id, row_number() OVER (PARTITION BY topic ORDER BY score DESC, doc_id) AS rank FROM tsum) WHERE rank <= 1000),
+em AS (SELECT t.query, t.topic, t.type, c.doc_id, qw.bp, f.seat, f.often, w.weight AS v, lead(f.seat) OVER per AS nxt, lead(w.weight) OVER per AS beside FROM tcand c JOIN topics t USING (topic) JOIN qw ON qw.query = t.query
+  LEFT JOIN dfp f ON f.doc_id = c.doc_id AND f.id = qw.id LEFT JOIN w ON w.doc_id = c.doc_id AND w.id = qw.id WINDOW per AS (PARTITION BY t.query, c.doc_id ORDER BY qw.bp)),
+es AS (SELECT topic, doc_id, sum((coalesce(v * often, 0) + CASE WHEN seat + 1 = nxt THEN 0.5 * (v + beside) ELSE 0 END) * CASE WHEN type = 'DESCRIPTION' THEN 1.0 ELSE 0.5 END) AS s FROM em GROUP BY ALL),
+r AS (SELECT topic, doc_id, round(s, 6) AS score FROM es WHERE s > 0)
+SELECT topic, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 300""",
+)
+def _(s, d):
+    docs = table(s, d, "definition", "def_id", "def").select(F.col("def_id").alias("doc_id"), F.col("def_id").alias("sid"), words(F.col("def")).alias("words"))
+    return R.topic_search(query_words(s, d), docs)
+
+
+_FEATURES = """CASE WHEN bp = 0 THEN ['', 'ガ', 'ヲ'][length(sid) % 3 + 1] ELSE '' END AS "case", bp = 1 AND length(sid) % 2 = 0 AS ukemi, bp = 0 AND length(sid) % 7 = 0 AS kanou, bp = 1 AND length(sid) % 5 = 0 AS shieki"""
+
+
+def featured_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Nodes of part names whose phrases have case, voice and potential by the length of the name."""
+    n, size = name_nodes(s, d), F.length("sid")
+    case = F.when(F.col("bp") == 0, F.element_at(F.array(F.lit(""), F.lit("ガ"), F.lit("ヲ")), size % 3 + 1)).otherwise("")
+    return n.withColumns({"case": case, "ukemi": (F.col("bp") == 1) & (size % 2 == 0), "kanou": (F.col("bp") == 0) & (size % 7 == 0), "shieki": (F.col("bp") == 1) & (size % 5 == 0)})
+
+
+_EXACT_GRAPHS = f"""
+, np AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1), dirs AS (SELECT a, b FROM np UNION SELECT b, a FROM np),
+n AS (SELECT *, {_FEATURES} FROM nodes),
+met AS (SELECT d.a, d.b, x.bp, x.id, x.score, x.weight, x.first, x.negation, x.relation, y.id IS NOT NULL AS met, coalesce(x.relation AND y.relation, false) AS sib, y.bp AS seat, y.first AS seat_first, y.relation AS yrel,
+  CASE WHEN y.id IS NULL OR x.relation AND y.relation THEN 0 ELSE x.score * x.weight * y.score * CASE WHEN x.kanou <> y.kanou THEN 0.8 ELSE 1 END END AS kept,
+  y.id IS NOT NULL AND NOT (x.relation AND y.relation) AND x."case" <> '' AND y."case" <> '' AND x."case" <> y."case" AS by_case, coalesce(NOT (x.relation AND y.relation) AND x.ukemi <> y.ukemi, false) AS by_passive, coalesce(NOT (x.relation AND y.relation) AND x.shieki <> y.shieki, false) AS by_causative,
+  coalesce(NOT (x.relation AND y.relation) AND (CAST(x.negation AS INT) + CAST(y.negation AS INT) + CAST(x.antonym AS INT) + CAST(y.antonym AS INT)) % 2 = 1, false) AS by_sign
+  FROM dirs d JOIN n x ON x.sid = d.a LEFT JOIN n y ON y.sid = d.b AND y.id = x.id),
+m2 AS (SELECT *, kept * CASE WHEN by_case THEN 0.3 ELSE 1 END * CASE WHEN by_passive THEN 0.3 ELSE 1 END * CASE WHEN by_causative THEN 0.3 ELSE 1 END * CASE WHEN by_sign THEN 0.3 ELSE 1 END AS risked FROM met),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b, bp, id, weight, negation ORDER BY kept DESC, risked DESC, seat) AS k FROM m2) WHERE k = 1),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY kept DESC, score DESC, id, weight) AS j FROM own WHERE bp = 0) WHERE j = 1),
+high0 AS (SELECT h.*, h.first = 1 AS kid, l.met AS lmet, l.sib AS lsib, l.seat AS lseat, l.weight AS lweight, length(h.a) % 4 = 0 AS clause, l.by_sign AS lsign,
+  CASE WHEN length(h.a) % 4 = 0 AND l.by_sign THEN l.risked ELSE l.kept END AS lkept, CASE WHEN length(h.a) % 4 = 0 AND NOT l.by_sign THEN l.kept ELSE l.risked END AS lrisked, CAST(l.by_case AS INT) AS lcase
+  FROM own h JOIN low l USING (a, b) WHERE h.bp = 1),
+high1 AS (SELECT *, kept + CASE WHEN kid THEN lkept ELSE 0 END AS tk, risked + CASE WHEN kid THEN lrisked ELSE 0 END AS tr, CAST(by_case AS INT) + CASE WHEN kid THEN lcase ELSE 0 END AS cases,
+  by_sign <> (kid AND NOT clause AND lsign) AS turned FROM high0),
+high2 AS (SELECT *, CASE WHEN kid AND met AND (cases = 2 AND (by_sign OR by_passive) OR cases = 1 AND by_causative) THEN 0 ELSE cases END AS c2, CASE WHEN kid AND met AND cases = 2 AND by_sign THEN NOT turned ELSE turned END AS t2,
+  CASE WHEN kid AND met AND cases = 2 AND NOT by_sign THEN false ELSE by_passive END AS p2 FROM high1),
+top AS (SELECT *, t2 OR met AND (c2 > 0 OR p2) AS spoilt FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY tk DESC, score DESC, id, weight) AS j FROM high2) WHERE j = 1),
+cov AS (SELECT a, b, CASE WHEN kid THEN weight + lweight + 0.5 * 1 ELSE weight END AS total,
+  CASE WHEN kid AND lmet AND met AND NOT lsib AND seat = 1 AND seat_first = 1 AND lseat = 0 THEN CASE WHEN clause THEN NOT lsign ELSE NOT spoilt END ELSE false END AS hit, CASE WHEN spoilt THEN tr ELSE tk END AS v FROM top),
+sc AS (SELECT a, b, (v + CASE WHEN hit THEN 0.5 ELSE 0 END) / total AS s FROM cov)
+SELECT a, b, round(x.s * y.s, 6) AS score FROM np JOIN sc x USING (a, b) JOIN (SELECT a AS b, b AS a, s FROM sc) y USING (a, b) WHERE x.s > 0 AND y.s > 0"""
+
+
+@query("q_exact_graphs", nodes_sql("SELECT DISTINCT p_name AS sid, p_name AS name FROM part") + _EXACT_GRAPHS)
+def _(s, d):
+    nodes = featured_nodes(s, d)
+    clauses = nodes.filter((F.col("bp") == 0) & (F.length("sid") % 4 == 0)).select("sid", "bp")
+    return exact_scores(next_pairs(s, d).select("a", "b"), nodes, nodes, clauses).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query(
+    "q_match_explanation",
+    nodes_sql("SELECT DISTINCT p_name AS sid, p_name AS name FROM part")
+    + """, np AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1),
+met AS (SELECT a, b, x.bp, x.id, x.score, x.weight, x.first, y.bp AS seat, y.first AS seat_first, CASE WHEN y.id IS NULL OR x.relation AND y.relation THEN 0 ELSE x.score * x.weight * y.score END AS kept,
+  CASE WHEN (CAST(x.negation AS INT) + CAST(y.negation AS INT) + CAST(x.antonym AS INT) + CAST(y.antonym AS INT)) % 2 = 1 THEN 1 ELSE 0 END AS off, CASE WHEN x.relation OR y.relation THEN 'isa' WHEN x.antonym OR y.antonym THEN 'antonym' ELSE 'syn' END AS kind, x.negation
+  FROM np JOIN nodes x ON x.sid = a LEFT JOIN nodes y ON y.sid = b AND y.id = x.id),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b, bp, id, weight, negation ORDER BY kept DESC, off, seat) AS k FROM met) WHERE k = 1),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY kept DESC, score DESC, id, weight) AS j FROM own WHERE bp = 0) WHERE j = 1),
+high AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY a, b ORDER BY h.kept + CASE WHEN h.first = 1 THEN l.kept ELSE 0 END DESC, h.score DESC, h.id, h.weight) AS j FROM own h JOIN low l USING (a, b) WHERE h.bp = 1) WHERE j = 1),
+shown AS (SELECT a, b, 1 AS o, first, 1 AS bp, seat, seat_first, kind FROM high WHERE seat IS NOT NULL UNION ALL SELECT l.a, l.b, 0, 0, 0, l.seat, l.seat_first, l.kind FROM low l JOIN high h USING (a, b) WHERE h.first = 1 AND l.seat IS NOT NULL)
+SELECT a, b, CASE WHEN first < bp THEN '0,1' ELSE CAST(bp AS VARCHAR) END AS one, CASE WHEN seat_first < seat THEN '0,1' ELSE CAST(seat AS VARCHAR) END AS two, kind FROM shown""",
+)
+def _(s, d):
+    nodes = name_nodes(s, d)
+    why = covered(next_pairs(s, d).select("a", "b").distinct(), nodes, counterparts(nodes)).select("a", "b", F.explode("why").alias("w"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return why.select("a", "b", text(F.col("w.one")).alias("one"), text(F.col("w.two")).alias("two"), "w.kind")
+
+
 _EDGES = f"""WITH RECURSIVE e0 AS (SELECT DISTINCT {_BASE.format("hyponym")} AS child, {_BASE.format("hypernym")} AS parent FROM isa WHERE hyponym <> '' AND hypernym <> ''),
 e1 AS (SELECT * FROM e0 WHERE child <> parent), cyc AS (SELECT a.child AS word FROM e1 a JOIN e1 b ON a.child = b.parent AND a.parent = b.child),
 e AS (SELECT child, parent FROM e1 WHERE child NOT IN (SELECT word FROM cyc) AND parent NOT IN (SELECT word FROM cyc)),
