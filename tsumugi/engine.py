@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from .functions.config import EngineConfig
 from .operators import annotate, retrieval, similarity
 from .operators.analyzer import chain_trees
-from .operators.annotate import Lexicon
-from .operators.tree_match import annotate_table
+from .operators.annotate import Lexicon, Prefilters
 from .sources.writers import annotated_blocks, write_table
 
 
@@ -34,9 +33,9 @@ class SynonymEngine:
     def trees(self, rows: DataFrame, sid: str, tokens: Column) -> DataFrame:
         return chain_trees(rows, sid, tokens)
 
-    def annotate(self, trees: DataFrame, any_length: bool = False) -> DataFrame:
-        """Nodes of phrase trees; members of more than two words are found only with ``any_length``."""
-        return annotate_table(trees, self.lexicon, self.config.nodes) if any_length else annotate.attach(trees, self.lexicon, self.config.nodes)
+    def annotate(self, trees: DataFrame, filters: Prefilters | None = None, stop_words: list[str] | None = None) -> DataFrame:
+        """Nodes of phrase trees; members may have any number of words."""
+        return annotate.attach(trees, self.lexicon, self.config.nodes, filters, stop_words)
 
     def match(self, pairs: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
         return similarity.match_pairs(pairs, nodes, keep, self.config.match)
@@ -47,8 +46,14 @@ class SynonymEngine:
     def hypernym(self, nodes: DataFrame) -> DataFrame:
         return annotate.only_hypernym(nodes)
 
+    def memory(self, nodes: DataFrame, trees: DataFrame, memory: DataFrame, target: str | None = None) -> DataFrame:
+        return annotate.memory_matches(nodes, trees, memory, self.config.max_patterns, target)
+
     def search(self, queries: DataFrame, docs: DataFrame, most: int = 100) -> DataFrame:
         return retrieval.search(queries, docs, most)
 
+    def search_graphs(self, queries: DataFrame, targets: DataFrame, most: int = 100, clauses: DataFrame | None = None) -> DataFrame:
+        return retrieval.search_graphs(queries, targets, most, clauses=clauses)
+
     def text(self, nodes: DataFrame, phrases: DataFrame) -> DataFrame:
         return annotated_blocks(nodes, phrases)

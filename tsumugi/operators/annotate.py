@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import ANTONYM, HYPERNYM, PENALTY, SYNONYM, NodeOptions
@@ -47,114 +47,191 @@ def register(nodes: DataFrame, threshold: float | None) -> DataFrame:
     return best.select(*KEY, "b.score", *[F.col(f"b.x.{c}").alias(c) for c in rest]).select(*nodes.columns)
 
 
-def expand(nodes: DataFrame, lexicon: Lexicon, options: NodeOptions) -> DataFrame:
-    """The nodes with their hypernyms and antonyms. Neither is followed further, unless hypernyms are recursive.
-
-    Recursive hypernyms have no threshold and stop at ids that the phrase has already.
-    """
-    out = nodes
-    plain = nodes.filter(~F.col("antonym") & ~F.col("not_synnode"))
-    if options.hypernyms:
-        up = lexicon.parents.select(F.col("synid").alias("id"), "parent", F.col("hypo_num").alias("n"))
-        if options.max_hyponyms is not None:
-            up = up.filter(F.col("n") <= options.max_hyponyms)
-        frontier = plain if options.recursive else plain.filter(~F.col("relation"))
-        scratch = Scratch(nodes.sparkSession, "hypernyms") if options.recursive else None
-        while True:
-            above = frontier.join(up, "id").withColumns({"score": F.col("score") * HYPERNYM, "relation": F.lit(True), "hypo_num": F.col("n").cast("int"), "id": F.col("parent")}).select(*nodes.columns)
-            if not options.recursive:
-                out = out.unionByName(above)
-                break
-            have = out.select("sid", "bp", "id").distinct()
-            above = scratch.write(register(above.join(have, ["sid", "bp", "id"], "left_anti"), None), "above")
-            if above.isEmpty():
-                break
-            out, frontier = out.unionByName(above), above
-    if options.antonyms:
-        other = lexicon.antonyms.select(F.col("synid").alias("id"), "other")
-        opposite = plain.filter(~F.col("relation")).join(other, "id")
-        flipped = {"score": F.col("score") * ANTONYM, "antonym": F.lit(True), "negation": ~F.col("negation"), "id": F.col("other")}
-        out = out.unionByName(opposite.withColumns(flipped).select(*nodes.columns))
-    return out
+def steps(lexicon: Lexicon, options: NodeOptions) -> DataFrame:
+    """(id, steps): where each id leads: to its hypernyms, with how many hyponyms they have, and to its opposites."""
+    up = lexicon.parents.select(F.col("synid").alias("id"), F.struct(F.lit(True).alias("up"), F.col("parent").alias("to"), F.col("hypo_num").cast("int").alias("n")).alias("s"))
+    if options.max_hyponyms is not None:
+        up = up.filter(F.col("s.n") <= options.max_hyponyms)
+    over = lexicon.antonyms.select(F.col("synid").alias("id"), F.struct(F.lit(False).alias("up"), F.col("other").alias("to"), F.lit(None).cast("int").alias("n")).alias("s"))
+    chosen = [t for t, wanted in ((up, options.hypernyms), (over, options.antonyms)) if wanted]
+    every = chosen[0] if len(chosen) == 1 else up.unionByName(over) if chosen else up.limit(0)
+    return every.filter("s.to is not null").groupBy("id").agg(F.collect_set("s").alias("steps"))
+
+
+def expand(nodes: DataFrame, leads: DataFrame) -> DataFrame:
+    """The nodes with their hypernyms and opposites, which lead no further. leads: by :func:`steps`."""
+    kind = "struct<id:string,cost:double,relation:boolean,antonym:boolean,flip:boolean,hypo_num:int>"
+    itself = F.struct("id", F.lit(1.0), "relation", "antonym", F.lit(False), "hypo_num").cast(kind)
+    bound = F.col("relation") | F.col("antonym") | F.col("not_synnode")
+    further = F.transform(
+        F.when(bound | F.col("steps").isNull(), F.array().cast("array<struct<up:boolean,to:string,n:int>>")).otherwise(F.col("steps")),
+        lambda s: F.struct(s["to"], F.when(s["up"], HYPERNYM).otherwise(ANTONYM), s["up"], ~s["up"], ~s["up"], s["n"]).cast(kind),
+    )
+    led = nodes.join(leads, "id", "left").withColumn("_to", F.explode(F.concat(F.array(itself), further)))
+    new = {"id": F.col("_to.id"), "score": F.col("score") * F.col("_to.cost"), "relation": F.col("_to.relation"), "antonym": F.col("_to.antonym"), "negation": F.col("negation") != F.col("_to.flip"), "hypo_num": F.col("_to.hypo_num")}
+    return led.select(*[new.get(c, F.col(c)).alias(c) for c in nodes.columns])
+
+
+def ancestors(nodes: DataFrame, lexicon: Lexicon, options: NodeOptions) -> DataFrame:
+    """Hypernyms at any distance of the nodes that aren't opposites, without a threshold; they stop at ids that the phrase has already."""
+    up = lexicon.parents.select(F.col("synid").alias("id"), "parent", F.col("hypo_num").alias("n"))
+    if options.max_hyponyms is not None:
+        up = up.filter(F.col("n") <= options.max_hyponyms)
+    scratch = Scratch(nodes.sparkSession, "hypernyms")
+    out, frontier = nodes, nodes.filter("not antonym and not not_synnode")
+    while True:
+        above = frontier.join(up, "id").withColumns({"score": F.col("score") * HYPERNYM, "relation": F.lit(True), "hypo_num": F.col("n").cast("int"), "id": F.col("parent")}).select(*nodes.columns)
+        have = out.select("sid", "bp", "id").distinct()
+        frontier = scratch.write(register(above.join(have, ["sid", "bp", "id"], "left_anti"), None), "above")
+        if frontier.isEmpty():
+            return out
+        out = out.unionByName(frontier)
 
 
 def _covered(*parts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
 
 
-def children(trees: DataFrame) -> DataFrame:
-    """(sid, kids): the children of each phrase of a sentence, as a map."""
-    per = trees.groupBy("sid", "bp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("childbp")))).alias("childbp"))
-    return per.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("bp", "childbp"))).alias("kids"))
+@dataclass
+class Prefilters:
+    """What keeps groups from being attached. senses: (sid, bp, id) of groups that word senses rule out; entries: (sid, first, last) of phrases inside of which no group stands."""
+
+    senses: DataFrame | None = None
+    entries: DataFrame | None = None
+
+
+def frames(trees: DataFrame) -> DataFrame:
+    """(sid, frame): the children, first word, function word and weight of each phrase of a sentence, as a map."""
+    have = lambda c, kind: F.col(c).cast(kind) if c in trees.columns else F.lit(None).cast(kind)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", have("fuzoku", "string").alias("fuzoku"), F.coalesce(have("weight", "double"), F.lit(1.0)).alias("weight"))).alias("f")
+    per = trees.groupBy("sid", "bp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("childbp")))).alias("kids"), first)
+    entry = F.struct("bp", F.struct("kids", F.col("f.id").alias("word"), F.col("f.fuzoku").alias("fuzoku"), F.col("f.weight").alias("weight")))
+    return per.groupBy("sid").agg(F.map_from_entries(F.collect_list(entry)).alias("frame"))
+
+
+def _at(bp: Column | str) -> Column:
+    return F.try_element_at(F.col("frame"), bp if isinstance(bp, Column) else F.col(bp))
+
+
+def _flat() -> Column:
+    """The first words of the phrases up to this one are the member's words one after another."""
+    n = F.size("words")
+    return F.slice("words", 1, n - 1) == F.transform(F.sequence(F.col("bp") - n + 1, F.col("bp") - 1), lambda k: _at(k)["word"])
+
+
+def _particle() -> Column:
+    """Some child has は, の, the member's function word, or none."""
+    child = F.transform(_at("bp")["kids"], lambda k: F.coalesce(_at(k)["fuzoku"], F.lit("")))
+    return F.exists(child, lambda c: c.isin("", "は", "の") | F.coalesce(c == F.col("member_fuzoku"), F.lit(False)))
+
+
+def _not_own() -> Column:
+    return F.col("synid") != F.split_part(F.col("sid").cast("string"), F.lit(","), F.lit(1))
+
 
+def _of_one_word(fresh: DataFrame, heads: DataFrame) -> DataFrame:
+    """Nodes of groups that have a member of the one word that a node stands for."""
+    met = fresh.filter("weight > 0").withColumnRenamed("id", "node_id").join(heads, "node_id").filter(_not_own())
+    return met.withColumns({"id": F.col("synid"), "score": F.col("score") * SYNONYM, "hypo_num": F.lit(None).cast("int")}).select(*fresh.columns)
 
-def _synonyms(nodes: DataFrame, kids: DataFrame, heads: DataFrame) -> DataFrame:
-    """Nodes of groups whose member is found at a phrase: members of one word, and of two words along one dependency."""
-    n = nodes.filter("weight > 0").withColumnRenamed("id", "node_id").join(heads, "node_id").filter((F.col("child_num") <= F.size("childbp")) & (F.col("synid") != F.split_part(F.col("sid").cast("string"), F.lit(","), F.lit(1))))
-    one = n.filter(F.size("words") == 1).withColumns({"id": F.col("synid"), "score": F.col("score") * SYNONYM, "covered": _covered("matchbp", F.array("bp"))})
-    two = n.filter(F.size("words") == 2).withColumn("wanted", F.element_at("words", 1))
+
+def _of_several_words(nodes: DataFrame, frame: DataFrame, heads: DataFrame, longest: int) -> DataFrame:
+    """Nodes of groups that have a member whose words are found one below the other along the dependencies, from its last word on.
+
+    Of the children that fit to the end the first ones count, of a child's nodes the one of the highest score, then the largest weight, then the fewest differences.
+    Features differing at the head stay the node's; below they cost. heads: (node_id, synid, words, tag, member_fuzoku).
+    """
+    n = nodes.filter("weight > 0 and size(childbp) > 0").withColumnRenamed("id", "node_id").join(heads, "node_id").filter(_not_own()).join(frame, "sid")
+    tag = F.coalesce("tag", F.lit(""))
+    n = n.filter(F.when(tag.isin("Wikipedia", "Web"), (F.col("bp") - F.size("words") + 1 >= 0) & F.coalesce(_flat(), F.lit(False))).when(tag == "同義句", F.coalesce(_particle(), F.lit(False))).otherwise(True))
+    own = F.struct(*[c for c in nodes.columns if c != "id"]).alias("own")
+    state = n.select(
+        "sid", "bp", "node_id", "synid", "words", own, F.col("childbp").alias("kids"), F.col("score").alias("total"), F.col("relation").alias("rel"), F.col("antonym").alias("ant"),
+        _covered("matchbp", F.array("bp")).alias("cov"), F.array().cast("array<int>").alias("path"),
+    )
     child = nodes.filter("weight > 0").select(
-        "sid", F.col("bp").alias("c"), F.col("id").alias("wanted"), F.col("score").alias("c_score"), F.col("weight").alias("c_weight"), F.col("matchbp").alias("c_match"),
-        F.col("relation").alias("c_relation"), F.col("antonym").alias("c_antonym"), F.struct(*FEATURES, "case").alias("c_features"),
+        "sid", F.col("bp").alias("c"), F.col("id").alias("wanted"), F.struct("score", "weight", "matchbp", "childbp", "relation", "antonym", "case", *FEATURES).alias("n"),
     )
-    met = two.withColumn("c", F.explode("childbp")).join(child, ["sid", "c", "wanted"])
-    differs = [F.col(f"c_features.{f}") for f in FEATURES]
-    mismatches = sum((d.cast("int") for d in differs), F.lit(0))
+    differs = [F.col(f"n.{f}") for f in FEATURES]
+    fewest = -sum((x.cast("int") for x in differs), F.lit(0))
     cost = F.lit(1.0)
-    for f, d in zip(FEATURES, differs):
-        cost = cost * F.when(d, PENALTY[f]).otherwise(1.0)
-    met = met.withColumns({"cost": cost, "mismatches": mismatches})
-    taken = ["c_score", "c_relation", "c_antonym", "c_match", "cost"]
-    own = [c for c in nodes.columns if c not in KEY]
-    order = (-F.col("c")).alias("first"), F.col("c_score").alias("s"), F.col("c_weight").alias("w"), (-F.col("mismatches")).alias("m")
-    picked = met.groupBy(*[c for c in KEY if c != "id"], "node_id", "synid").agg(F.max(F.struct(*order, *taken, *own)).alias("b"))
-    picked = picked.withColumns({c: F.col(f"b.{c}") for c in own})
-    both = picked.withColumns(
-        {
-            "id": F.col("synid"),
-            "score": (F.col("score") + F.col("b.c_score") * F.col("b.cost")) / 2 * SYNONYM,
-            "relation": F.col("relation") | F.col("b.c_relation"),
-            "antonym": F.col("antonym") | F.col("b.c_antonym"),
-            "covered": _covered("matchbp", F.array("bp"), "b.c_match", F.array((-F.col("b.first")).cast("int"))),
-        }
-    )
-    columns = [*nodes.columns, "covered"]
-    new = one.select(*columns).unionByName(both.select(*columns)).join(kids, "sid")
-    below = F.flatten(F.transform("covered", lambda b: F.coalesce(F.element_at("kids", b), F.array().cast("array<int>"))))
-    return new.withColumns(
-        {
-            "matchbp": F.array_except("covered", F.array("bp")),
-            "childbp": F.array_sort(F.array_except(F.array_distinct(below), F.col("covered"))),
-            "weight": F.size("covered").cast("double"),
-            "hypo_num": F.lit(None).cast("int"),
-        }
-    ).select(*nodes.columns)
-
-
-def attach(trees: DataFrame, lexicon: Lexicon, options: NodeOptions | None = None) -> DataFrame:
-    """All nodes of phrase trees: own words, groups they belong to, hypernyms, antonyms, and groups of two-word expressions.
-
-    Rounds of joins over all sentences at once: each probes the head index with all nodes so far, new nodes become keys of the
-    next round, and rounds end when no node that a member's word could meet is new or better. Members of more words take the tree matcher
-    (:mod:`tree_match`). trees: (sid, bp, id, parentbp, childbp). Phrases without a word have no node; sentences whose id
-    is a group's don't get that group. Equal nodes count once; repeated sentences are one.
+    for f, x in zip(FEATURES, differs):
+        cost = cost * F.when(x, PENALTY[f]).otherwise(1.0)
+    found = None
+    for word in range(2, longest + 1):
+        down = state.filter(F.size("words") >= word).withColumn("c", F.explode("kids")).withColumn("wanted", F.element_at("words", -word))
+        met = down.join(child, ["sid", "c", "wanted"])
+        best = met.groupBy(*state.columns, "c").agg(F.max(F.struct(F.col("n.score").alias("s"), F.col("n.weight").alias("w"), fewest.alias("f"), cost.alias("cost"), "n")).alias("b"))
+        state = best.select(
+            "sid", "bp", "node_id", "synid", "words", "own", F.col("b.n.childbp").alias("kids"), (F.col("total") + F.col("b.s") * F.col("b.cost")).alias("total"), (F.col("rel") | F.col("b.n.relation")).alias("rel"),
+            (F.col("ant") | F.col("b.n.antonym")).alias("ant"), _covered("cov", "b.n.matchbp", F.array("c")).alias("cov"), F.array_append("path", -F.col("c")).alias("path"),
+        )
+        done = state.filter(F.size("words") == word)
+        found = done if found is None else found.unionByName(done)
+    firsts = found.groupBy("sid", "bp", "node_id", "synid", "words", "own").agg(F.max(F.struct("path", "total", "rel", "ant", "cov")).alias("b")).join(frame, "sid")
+    below = F.flatten(F.transform("b.cov", lambda k: F.coalesce(_at(k)["kids"], F.array().cast("array<int>"))))
+    made = {
+        "id": F.col("synid"), "score": F.col("b.total") / F.size("words") * SYNONYM, "weight": F.aggregate("b.cov", F.lit(0.0), lambda s, k: s + F.coalesce(_at(k)["weight"], F.lit(0.0))), "relation": F.col("b.rel"), "antonym": F.col("b.ant"),
+        "matchbp": F.array_except("b.cov", F.array("bp")), "childbp": F.array_sort(F.array_except(F.array_distinct(below), "b.cov")), "hypo_num": F.lit(None).cast("int"),
+    }
+    return firsts.select(*[(made[c] if c in made else F.col(c) if c in ("sid", "bp") else F.col(f"own.{c}")).alias(c) for c in nodes.columns])
+
+
+def _member_table(members: DataFrame) -> DataFrame:
+    """(node_id, synid, words, tag, member_fuzoku) by the members' last words, once each."""
+    have = lambda c: F.col(c) if c in members.columns else F.lit(None).cast("string")
+    m = members.filter(F.size("words") > 0).select(F.element_at("words", -1).alias("node_id"), "synid", "words", have("tag").alias("tag"), have("fuzoku").alias("member_fuzoku"))
+    return m.dropDuplicates(["synid", "words", "tag", "member_fuzoku"])
+
+
+def attach(trees: DataFrame, lexicon: Lexicon, options: NodeOptions | None = None, filters: Prefilters | None = None, stop_words: list[str] | None = None) -> DataFrame:
+    """All nodes of phrase trees: own words, groups that have a member standing there, of any number of words, hypernyms and antonyms.
+
+    Rounds of joins over all sentences at once, each from what the last one found: new nodes of one phrase probe the head index, and
+    sentences with new nodes that a longer member's word could meet are matched along their dependencies; rounds end when nothing is new or better.
+    trees: (sid, bp, id, parentbp, childbp), with ``fuzoku`` where members are similar phrases. Members may have a ``tag``: those of Wikipedia and Web must stand
+    in a row, similar phrases (同義句) must fit by a child's function word, the second last of their own being ``fuzoku``. Phrases without a word have no node;
+    sentences whose id is a group's don't get that group. Equal nodes count once; repeated sentences are one.
     """
-    options = options or NodeOptions()
+    options, filters = options or NodeOptions(), filters or Prefilters()
     threshold = None if options.recursive else options.threshold
     scratch = Scratch(trees.sparkSession, "attach")
     trees = trees.dropDuplicates(["sid", "bp", "id"])
-    kids = scratch.write(children(trees), "kids")
-    heads = head_index(lexicon.members)
-    once = NodeOptions(**{**options.__dict__, "recursive": False})
-    nodes = scratch.write(register(expand(basic_nodes(trees), lexicon, once), threshold), "nodes")
-    keys = scratch.write(lexicon.members.select(F.explode("words").alias("id")).distinct(), "keys")
-    fresh = nodes
-    while not fresh.join(keys, "id", "left_semi").isEmpty():
-        new = scratch.write(register(nodes.unionByName(expand(_synonyms(nodes, kids, heads), lexicon, once)), threshold), "nodes")
-        fresh = new.join(nodes.select(*KEY, F.col("score").alias("was")), KEY, "left").filter("was is null or score > was + 1e-12").select(*nodes.columns)
-        nodes = new
+    if stop_words:
+        trees = trees.withColumn("weight", F.when(F.col("id").isin(stop_words), 0.0).otherwise(1.0))
+    members = _member_table(lexicon.members)
+    one, several = members.filter(F.size("words") == 1).select("node_id", "synid").distinct(), members.filter(F.size("words") > 1)
+    longest = several.agg(F.max(F.size("words"))).first()[0] or 1
+    leads = steps(lexicon, options)
+    keys = one.select(F.col("node_id").alias("id"), F.lit(False).alias("many"))
+    if longest > 1:
+        frame = scratch.write(frames(trees), "frames")
+        keys = keys.unionByName(several.select(F.explode("words").alias("id"), F.lit(True).alias("many")))
+    keys = keys.groupBy("id").agg(F.max("many").alias("many"))
+
+    def written(nodes: DataFrame) -> tuple[DataFrame, DataFrame, bool | None]:
+        """The nodes as a table; of those that a member's word could meet the sentences with longer members, and whether there are any such (None if no member is met)."""
+        seen = Observation()
+        out = scratch.write(nodes.join(keys, "id", "left").observe(seen, F.max("many").alias("many")), "nodes")
+        return out.drop("many"), out.filter("many").select("sid").distinct(), seen.get["many"]
+
+    delta, touched, kind = written(register(expand(basic_nodes(trees.drop("weight"), stop_words), leads), threshold))
+    every = delta
+    while kind is not None:
+        new = _of_one_word(delta, one)
+        if kind:
+            new = new.unionByName(_of_several_words(every.join(touched, "sid", "left_semi"), frame.join(touched, "sid", "left_semi"), several, longest))
+        if filters.senses is not None:
+            new = new.join(filters.senses.select("sid", "bp", "id").distinct(), ["sid", "bp", "id"], "left_anti")
+        if filters.entries is not None:
+            new = outside_entries(new, filters.entries)
+        new = register(expand(new, leads), threshold)
+        had = every.groupBy(*KEY).agg(F.max("score").alias("was"))
+        delta, touched, kind = written(new.join(had, KEY, "left").filter("was is null or score > was + 1e-12").select(*every.columns))
+        every = every.unionByName(delta)
+    nodes = register(every, threshold)
     if options.recursive:
-        nodes = scratch.write(register(expand(nodes.filter("not relation"), lexicon, NodeOptions(**{**options.__dict__, "antonyms": False})).unionByName(nodes.filter("relation")), None), "nodes")
+        nodes = register(ancestors(nodes.filter("not relation"), lexicon, options).unionByName(nodes.filter("relation")), None)
     return nodes
 
 
@@ -262,7 +339,11 @@ def memory_matches(nodes: DataFrame, trees: DataFrame, memory: DataFrame, most:
     m = memory
     if target is not None:
         m = m.filter(F.exists("mvalue", lambda v: F.contains(F.lit(target), v)))
-    found = _synonyms(nodes, children(trees), head_index(m.select(F.col("stid").alias("synid"), "words")))
+    table = _member_table(m.select(F.col("stid").alias("synid"), "words"))
+    longest = m.agg(F.max(F.size("words"))).first()[0] or 0
+    found = _of_one_word(nodes, table.filter(F.size("words") == 1).select("node_id", "synid"))
+    if longest > 1:
+        found = found.unionByName(_of_several_words(nodes, frames(trees), table.filter(F.size("words") > 1), longest))
     best = found.groupBy("sid", "bp", F.col("id").alias("stid"), F.array_sort(F.array_append("matchbp", F.col("bp"))).alias("covered")).agg(F.max(F.col("score") / SYNONYM).alias("score"))
     k = F.row_number().over(Window.partitionBy("sid", "covered").orderBy(F.desc("score"), "stid"))
     return best.withColumn("k", k).filter(F.col("k") <= most).drop("k")

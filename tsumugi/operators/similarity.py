@@ -2,24 +2,126 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.config import MatchOptions
-from ..functions.schema import nested
+from ..functions.config import PENALTY, MatchOptions
+from ..functions.runtime import ship
+from ..functions.schema import FEATURES
 from ..functions.strings import base_of
 from .annotate import full_cover
-from .tree_match import match_table
 
 
-def match_pairs(pairs: DataFrame, nodes: DataFrame, keep: list[str], options: MatchOptions | None = None) -> DataFrame:
-    """(keep..., score): similarity of the sentences ``a`` and ``b`` of each pair; null where they don't match or have no nodes."""
-    graphs = nested(nodes)
-    one, two = graphs.select(F.col("sid").alias("a"), F.col("graph").alias("one")), graphs.select(F.col("sid").alias("b"), F.col("graph").alias("two"))
-    both = pairs.join(one, "a", "left").join(two, "b", "left")
-    empty = F.col("one").isNull() | F.col("two").isNull()
-    filled = match_table(both.filter(~empty), keep, options)
-    return filled.unionByName(both.filter(empty).select(*keep, F.lit(None).cast("double").alias("score")))
+#: Features that are compared; those a node doesn't have count as false.
+COMPARED = ("fuzoku", "case", *FEATURES)
+_CELL = "struct<to:int,at:int,kids:array<int>,wanted:array<int>,value:double,free:double,head:boolean,stays:boolean>"
+
+
+def within(nodes: DataFrame, body: DataFrame) -> DataFrame:
+    """The nodes that lie in the phrases ``body`` (sid, bp) of their sentence, without children outside; sentences that have no body have none."""
+    inside = body.groupBy("sid").agg(F.collect_set("bp").alias("_body"))
+    held = nodes.join(inside, "sid").filter(F.array_contains("_body", F.col("bp")) & (F.size(F.array_except("matchbp", "_body")) == 0))
+    return held.withColumn("childbp", F.array_intersect("childbp", "_body")).drop("_body")
+
+
+def _standing(pairs: DataFrame, ones: DataFrame, twos: DataFrame, options: MatchOptions) -> DataFrame:
+    """(a, b, at, to, cell): for phrases that have an id in common the node pair of the highest score, then the largest weight, then the fewest differences."""
+    fields = ["bp", "score", "weight", "childbp", "matchbp", "relation", "antonym", "hypo_num", *COMPARED]
+    x = ones.select(F.col("sid").alias("a"), "id", F.struct(*fields).alias("x"))
+    y = twos.select(F.col("sid").alias("b"), "id", F.struct(*fields).alias("y"))
+    met = pairs.join(x, "a").join(y, ["b", "id"]).filter("not (x.antonym and y.antonym)")
+    if not options.coordinate:
+        met = met.filter("not (x.relation and y.relation)")
+    if options.max_hyponyms is not None:
+        met = met.filter(F.greatest(F.coalesce("x.hypo_num", F.lit(0)), F.coalesce("y.hypo_num", F.lit(0))) <= options.max_hyponyms)
+    text = lambda side, f: F.coalesce(F.col(f"{side}.{f}"), F.lit(""))
+    flag = lambda side, f: F.coalesce(F.col(f"{side}.{f}"), F.lit(False))
+    differ = {f: (text if f in ("fuzoku", "case") else flag)("x", f) != (text if f in ("fuzoku", "case") else flag)("y", f) for f in COMPARED}
+    fewest = -sum((d.cast("int") for d in differ.values()), F.lit(0))
+    paid = differ | {"case": differ["case"] & (text("x", "case") != "") & (text("y", "case") != "")}
+    value = F.col("x.score") * F.col("y.score")
+    cost = value
+    for f in COMPARED:
+        cost = cost * F.when(paid[f], PENALTY[f]).otherwise(1.0)
+    head = ~(differ["fuzoku"] & (text("y", "fuzoku") != ""))  # the target may lack a function word, not have another
+    stays = ~differ["fuzoku"] if options.same_particles else F.lit(True)
+    cell = F.struct(F.col("y.bp").alias("to"), F.col("x.bp").alias("at"), F.col("x.childbp").alias("kids"), F.col("y.childbp").alias("wanted"), cost.alias("value"), value.alias("free"), head.alias("head"), stays.alias("stays"))
+    order = F.struct(value.alias("s"), (F.col("x.weight") + F.col("y.weight")).alias("w"), fewest.alias("f"), F.col("x.score").alias("first"), (-F.size("x.matchbp")).alias("m"), (-F.size("y.matchbp")).alias("n"), cell.cast(_CELL).alias("cell"))
+    best = met.filter(value > 0).groupBy("a", "b", F.col("x.bp").alias("at"), F.col("y.bp").alias("to")).agg(F.max(order).alias("m"))
+    return best.select("a", "b", "at", "to", "m.cell")
+
+
+def _mean(cells: list[dict], head: tuple[int, int]) -> float | None:
+    """The mean value of a tree's phrases where each child stands for another child, the first that fits, or None.
+
+    Phrases are settled once a pair, dependents before heads, without recursion. Heads cost nothing, all others their differences.
+    """
+    at = {(c["at"], c["to"]): c for c in cells}
+    if head not in at or not at[head]["head"]:
+        return None
+    chosen: dict[tuple[int, int], list | None] = {}
+    todo = [head]
+    while todo:
+        here = todo[-1]
+        if here in chosen:
+            todo.pop()
+            continue
+        free, taken, waits = sorted(at[here]["kids"]), [], None
+        fits = len(free) >= len(at[here]["wanted"])
+        for c in sorted(at[here]["wanted"]) if fits else ():
+            for k in free:
+                below = (k, c)
+                if below in at and below not in chosen and k < here[0]:
+                    waits = below
+                    break
+                if chosen.get(below) is not None:
+                    taken.append(below)
+                    free.remove(k)
+                    break
+            else:
+                fits = False
+            if waits or not fits:
+                break
+        if waits:
+            todo.append(waits)
+        else:
+            chosen[here] = taken if fits else None
+            todo.pop()
+    if chosen[head] is None:
+        return None
+    total, n, walk = at[head]["free"], 1, list(chosen[head])
+    while walk:
+        p = walk.pop()
+        if not at[p]["stays"]:
+            return None
+        total, n = total + at[p]["value"], n + 1
+        walk += chosen[p]
+    return total / n
+
+
+def match_pairs(pairs: DataFrame, nodes: DataFrame, keep: list[str], options: MatchOptions | None = None, others: DataFrame | None = None) -> DataFrame:
+    """(keep..., score): how well sentence ``b`` of each pair as a whole is found at the head of ``a``; null where it isn't or where one has no nodes.
+
+    Phrases are met by join on their ids; what is left for a pair is one pass that seats children. nodes are of both, or of ``a`` with ``others`` of ``b``.
+    """
+    ship(pairs.sparkSession)
+    others = nodes if others is None else others
+    once = pairs.select("a", "b").filter("a is not null and b is not null").distinct()
+    last = lambda n, side, name: n.groupBy(F.col("sid").alias(side)).agg(F.max("bp").alias(name))
+    cells = _standing(once, nodes, others, options or MatchOptions()).groupBy("a", "b").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    rows = cells.join(last(nodes, "a", "la"), "a").join(last(others, "b", "lb"), "b").select("a", "b", "la", "lb", "cells")
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("a", "b")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [_mean(c, (x, y)) for x, y, c in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["a", "b", "score"])
+
+    scored = rows.mapInArrow(work, f"a {kinds[0]}, b {kinds[1]}, score double")
+    return pairs.join(scored, ["a", "b"], "left").select(*keep, "score")
 
 
 def two_expression_relation(pairs: DataFrame, nodes: DataFrame, keep: list[str], compat: bool = False) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions.strings import base_of
 from ..operators import annotate as A
 from ..operators import similarity as M
 from ..operators.analyzer import case_phrases, chain_trees, words
-from ..operators.tree_match import annotate_table
 from .fixtures import ANTONYMS, MEMBERS, WHOLE, inline, lexicon, name_trees, nodes_sql, part_trees, values
 from .lexicon_queries import _G, groups, isa, web
 
@@ -135,11 +134,6 @@ def _(s, d):
     return A.node_lines(part_nodes(s, d)).withColumnRenamed("sid", "p_partkey")
 
 
-@query("q_annotate_trees", NODES + " SELECT sid AS p_partkey, CAST(bp AS INT) AS bp, id AS node_id, round(score, 6) AS score, weight, relation, antonym, negation FROM nodes")
-def _(s, d):
-    return shown(annotate_table(part_trees(s, d), lexicon(s)), "p_partkey", "weight", "relation", "antonym", "negation")
-
-
 def next_pairs(s, d):
     """Each part with the next one."""
     p = table(s, d, "part", "p_partkey", "p_name")

@@ -20,7 +20,7 @@ from ..operators.annotate import Lexicon, attach
 def annotate_stream(sentences: DataFrame, sid: str, tokens: Column, lexicon: Lexicon, sink: Callable[[DataFrame, int], None], checkpoint: str, options: NodeOptions | None = None) -> StreamingQuery:
     """Starts annotating a stream of sentences; every micro-batch's nodes go to ``sink`` with the batch's number, so a sink can be exactly-once.
 
-    All operators run, of members of any length too. Ends after what is there now; start it again for more.
+    Members may have any number of words. Ends after what is there now; start it again for more.
     """
 
     def each(batch: DataFrame, number: int) -> None:
