@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import ANTONYM, HYPERNYM, PENALTY, SYNONYM, NodeOptions
-from ..functions.runtime import Scratch, filled
+from ..functions.runtime import Scratch, filled, shuffled
 from ..functions.schema import FEATURES, with_defaults
 
 #: What tells nodes of a phrase apart; of equal ones the best stays.
@@ -82,7 +82,7 @@ def ancestors(nodes: DataFrame, lexicon: Lexicon, options: NodeOptions) -> DataF
     while True:
         above = frontier.join(up, "id").withColumns({"score": F.col("score") * HYPERNYM, "relation": F.lit(True), "hypo_num": F.col("n").cast("int"), "id": F.col("parent")}).select(*nodes.columns)
         have = out.select("sid", "bp", "id").distinct()
-        frontier = scratch.write(register(above.join(have, ["sid", "bp", "id"], "left_anti"), None), "above")
+        frontier = scratch.write(register(above.join(shuffled(have), ["sid", "bp", "id"], "left_anti"), None), "above")
         if frontier.isEmpty():
             return out
         out = out.unionByName(frontier)
@@ -141,7 +141,7 @@ def _of_several_words(nodes: DataFrame, frame: DataFrame, heads: DataFrame, long
     Of the children that fit to the end the first ones count, of a child's nodes the one of the highest score, then the largest weight, then the fewest differences.
     Features differing at the head stay the node's; below they cost. heads: (node_id, synid, words, tag, member_fuzoku).
     """
-    n = nodes.filter("weight > 0 and size(childbp) > 0").withColumnRenamed("id", "node_id").join(heads, "node_id").filter(_not_own()).join(frame, "sid")
+    n = nodes.filter("weight > 0 and size(childbp) > 0").withColumnRenamed("id", "node_id").join(heads, "node_id").filter(_not_own()).join(shuffled(frame), "sid")
     tag = F.coalesce("tag", F.lit(""))
     n = n.filter(F.when(tag.isin("Wikipedia", "Web"), (F.col("bp") - F.size("words") + 1 >= 0) & F.coalesce(_flat(), F.lit(False))).when(tag == "同義句", F.coalesce(_particle(), F.lit(False))).otherwise(True))
     own = F.struct(*[c for c in nodes.columns if c != "id"]).alias("own")
@@ -160,7 +160,7 @@ def _of_several_words(nodes: DataFrame, frame: DataFrame, heads: DataFrame, long
     found = None
     for word in range(2, longest + 1):
         down = state.filter(F.size("words") >= word).withColumn("c", F.explode("kids")).withColumn("wanted", F.element_at("words", -word))
-        met = down.join(child, ["sid", "c", "wanted"])
+        met = down.join(shuffled(child), ["sid", "c", "wanted"])
         best = met.groupBy(*state.columns, "c").agg(F.max(F.struct(F.col("n.score").alias("s"), F.col("n.weight").alias("w"), fewest.alias("f"), cost.alias("cost"), "n")).alias("b"))
         state = best.select(
             "sid", "bp", "node_id", "synid", "words", "own", F.col("b.n.childbp").alias("kids"), (F.col("total") + F.col("b.s") * F.col("b.cost")).alias("total"), (F.col("rel") | F.col("b.n.relation")).alias("rel"),
@@ -168,7 +168,7 @@ def _of_several_words(nodes: DataFrame, frame: DataFrame, heads: DataFrame, long
         )
         done = state.filter(F.size("words") == word)
         found = done if found is None else found.unionByName(done)
-    firsts = found.groupBy("sid", "bp", "node_id", "synid", "words", "own").agg(F.max(F.struct("path", "total", "rel", "ant", "cov")).alias("b")).join(frame, "sid")
+    firsts = found.groupBy("sid", "bp", "node_id", "synid", "words", "own").agg(F.max(F.struct("path", "total", "rel", "ant", "cov")).alias("b")).join(shuffled(frame), "sid")
     below = F.flatten(F.transform("b.cov", lambda k: F.coalesce(_at(k)["kids"], F.array().cast("array<int>"))))
     made = {
         "id": F.col("synid"), "score": F.col("b.total") / F.size("words") * SYNONYM, "weight": F.aggregate("b.cov", F.lit(0.0), lambda s, k: s + F.coalesce(_at(k)["weight"], F.lit(0.0))), "relation": F.col("b.rel"), "antonym": F.col("b.ant"),
@@ -220,14 +220,15 @@ def attach(trees: DataFrame, lexicon: Lexicon, options: NodeOptions | None = Non
     while kind is not None:
         new = _of_one_word(delta, one)
         if kind:
-            new = new.unionByName(_of_several_words(every.join(touched, "sid", "left_semi"), frame.join(touched, "sid", "left_semi"), several, longest))
+            near = shuffled(touched)
+            new = new.unionByName(_of_several_words(every.join(near, "sid", "left_semi"), frame.join(near, "sid", "left_semi"), several, longest))
         if filters.senses is not None:
-            new = new.join(filters.senses.select("sid", "bp", "id").distinct(), ["sid", "bp", "id"], "left_anti")
+            new = new.join(shuffled(filters.senses.select("sid", "bp", "id").distinct()), ["sid", "bp", "id"], "left_anti")
         if filters.entries is not None:
             new = outside_entries(new, filters.entries)
         new = register(expand(new, leads), threshold)
         had = every.groupBy(*KEY).agg(F.max("score").alias("was"))
-        delta, touched, kind = written(new.join(had, KEY, "left").filter("was is null or score > was + 1e-12").select(*every.columns))
+        delta, touched, kind = written(new.join(shuffled(had), KEY, "left").filter("was is null or score > was + 1e-12").select(*every.columns))
         every = every.unionByName(delta)
     nodes = register(every, threshold)
     if options.recursive:
