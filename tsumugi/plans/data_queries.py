@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.runtime import table
-from ..operators.hierarchy import descendant_counts, hierarchy
+from ..operators.hierarchy import ancestor_pairs, descendant_counts, hierarchy
 from ..operators.skew import key_statistics
 from ..operators.strict_load import load_valid, rejected
 from ..operators.unpack import PAIRS, STRAIGHT, infer_delimiters, unpack
@@ -19,6 +19,10 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendant_counts(table(spark, d, "isa", "hyponym", "hypernym"), "hyponym", "hypernym")
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return ancestor_pairs(table(spark, d, "isa", "hyponym", "hypernym"), "hyponym", "hypernym")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return unpack(table(spark, d, "synonym", "line_no", "syn_list", "tag"), "line_no", "syn_list", "tag").toDF("line_no", "pos", "word")
 
@@ -94,6 +98,10 @@ SELECT node, '', CASE WHEN bool_or(here = node) THEN -1 ELSE -2 END, '' FROM wal
 WITH RECURSIVE {_TREE},
 pairs AS (SELECT node, depth, unnest(path[:-2]) AS ancestor, unnest(generate_series(1, depth)) AS k FROM tree)
 SELECT ancestor, count(*) AS n_descendants, CAST(max(depth + 1 - k) AS INT) AS height FROM pairs GROUP BY ancestor
+""",
+    "p2_pairs": f"""
+WITH RECURSIVE {_TREE}
+SELECT unnest(path[:-2]) AS ancestor, node, CAST(depth + 1 - unnest(generate_series(1, depth)) AS INT) AS distance FROM tree
 """,
     "p4_found": f"""
 WITH {_FIELDS}, reasons AS (SELECT line_no, CASE WHEN NOT line_ok THEN 'quote' WHEN NOT three THEN 'columns' WHEN NOT has_id THEN 'word_id'
@@ -112,4 +120,4 @@ SELECT hypernym, count(*) AS n_rows, count(DISTINCT CASE WHEN hyponym <> '' THEN
 """,
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p3_found, p3_delimiters, p4_found, p4_loaded, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_pairs, p3_found, p3_delimiters, p4_found, p4_loaded, p6_found)}
