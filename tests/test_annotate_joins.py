@@ -33,7 +33,7 @@ def annotated():
     return {}
 
 
-QUERIES = ["q_count_syn_nodes"]
+QUERIES = "q_count_syn_nodes q_child_num_min".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)

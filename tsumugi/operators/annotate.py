@@ -286,7 +286,7 @@ def count_group_nodes(nodes: DataFrame, pattern: str = "^[sg][0-9]") -> DataFram
 def least_children(nodes: DataFrame) -> DataFrame:
     """(sid, child_num): the smallest number of children over the nodes of the last phrase, 10 at most."""
     last = nodes.groupBy("sid").agg(F.max("bp").alias("last"))
-    tail = nodes.join(last, "sid").filter("bp = last")
+    tail = nodes.join(shuffled(last), "sid").filter("bp = last")
     return tail.groupBy("sid").agg(F.least(F.lit(10), F.min(F.size("childbp"))).alias("child_num"))
 
 
