@@ -372,11 +372,11 @@ def node_logs(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
     same = head.select("sid", "bp", F.col("synid").alias("id"), F.concat(F.array_join("words", "+"), F.lit("=>"), "synid").alias("log"))
     have = nodes.select("sid", "bp", "id", "relation", "antonym").distinct()
     kinds = have.select("sid", "bp", "id", "relation", "antonym")
-    one = kinds.filter("relation").select("sid", "bp", "id").join(up, ["sid", "bp", "id"])
-    two = kinds.filter("antonym").select("sid", "bp", "id").join(over, ["sid", "bp", "id"])
-    three = kinds.select("sid", "bp", "id").distinct().join(same, ["sid", "bp", "id"])
+    one = kinds.filter("relation").select("sid", "bp", "id").join(shuffled(up), ["sid", "bp", "id"])
+    two = kinds.filter("antonym").select("sid", "bp", "id").join(shuffled(over), ["sid", "bp", "id"])
+    three = kinds.select("sid", "bp", "id").distinct().join(shuffled(same), ["sid", "bp", "id"])
     made = one.unionByName(two).unionByName(three).distinct()
-    bare = kinds.select("sid", "bp", "id").distinct().join(made.select("sid", "bp", "id").distinct(), ["sid", "bp", "id"], "left_anti")
+    bare = kinds.select("sid", "bp", "id").distinct().join(shuffled(made.select("sid", "bp", "id").distinct()), ["sid", "bp", "id"], "left_anti")
     return made.unionByName(bare.withColumn("log", F.col("id")))
 
 
