@@ -33,7 +33,7 @@ def annotated():
     return {}
 
 
-QUERIES = "q_count_syn_nodes q_child_num_min q_node_logs".split()
+QUERIES = "q_count_syn_nodes q_child_num_min q_node_logs q_entry_containment".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)

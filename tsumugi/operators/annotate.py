@@ -246,7 +246,7 @@ def outside_entries(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """Nodes that don't lie inside a longer entry; one over exactly the entry's span stays. entries: (sid, first, last)."""
     span = nodes.withColumns({"_f": F.array_min(F.array_append("matchbp", F.col("bp"))), "_l": F.col("bp")})
     inside = (F.col("first") <= F.col("_f")) & (F.col("_l") <= F.col("last")) & ((F.col("first") != F.col("_f")) | (F.col("last") != F.col("_l")))
-    return span.join(entries, (span["sid"] == entries["sid"]) & inside, "left_anti").drop("_f", "_l")
+    return span.join(shuffled(entries), (span["sid"] == entries["sid"]) & inside, "left_anti").drop("_f", "_l")
 
 
 def flat_matches(trees: DataFrame, phrases: DataFrame) -> DataFrame:
