@@ -239,7 +239,7 @@ def attach(trees: DataFrame, lexicon: Lexicon, options: NodeOptions | None = Non
 def without_other_senses(nodes: DataFrame, resolved: DataFrame, inventory: DataFrame) -> DataFrame:
     """Nodes without the groups of senses that were ruled out. resolved: (sid, bp, word, m); inventory: (word, m, synid)."""
     other = resolved.join(inventory.withColumnRenamed("m", "m2"), "word").filter("m2 <> m").select("sid", "bp", F.col("synid").alias("id")).distinct()
-    return nodes.join(other, ["sid", "bp", "id"], "left_anti")
+    return nodes.join(shuffled(other), ["sid", "bp", "id"], "left_anti")
 
 
 def outside_entries(nodes: DataFrame, entries: DataFrame) -> DataFrame:
