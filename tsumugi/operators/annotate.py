@@ -261,7 +261,7 @@ def flat_matches(trees: DataFrame, phrases: DataFrame) -> DataFrame:
 def full_cover(nodes: DataFrame) -> DataFrame:
     """Nodes of the last phrase that cover the whole sentence, with their type: syn, isa or antonym."""
     last = nodes.groupBy("sid").agg(F.max("bp").alias("last"))
-    whole = nodes.join(last, "sid").filter((F.col("bp") == F.col("last")) & (F.size("matchbp") == F.col("last")))
+    whole = nodes.join(shuffled(last), "sid").filter((F.col("bp") == F.col("last")) & (F.size("matchbp") == F.col("last")))
     kind = F.when(F.col("antonym"), "antonym").when(F.col("relation") | (F.col("score") < SYNONYM), "isa").otherwise("syn")
     return whole.withColumn("type", kind).drop("last")
 
@@ -269,7 +269,7 @@ def full_cover(nodes: DataFrame) -> DataFrame:
 def only_hypernym(nodes: DataFrame) -> DataFrame:
     """(sid, hypernym): of each sentence with exactly one hypernym over the whole of it, else an empty text."""
     h = full_cover(nodes).filter("relation").groupBy("sid").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
-    return nodes.select("sid").distinct().join(h, "sid", "left").select("sid", F.when(F.col("n") == 1, F.col("id")).otherwise("").alias("hypernym"))
+    return nodes.select("sid").distinct().join(shuffled(h), "sid", "left").select("sid", F.when(F.col("n") == 1, F.col("id")).otherwise("").alias("hypernym"))
 
 
 def ids_by_type(nodes: DataFrame) -> DataFrame:
