@@ -33,7 +33,7 @@ def annotated():
     return {}
 
 
-QUERIES = "q_count_syn_nodes q_child_num_min q_node_logs q_entry_containment q_wsd_filter q_full_cover_hypernym q_retrieve_sids q_antonym_attach q_hypernym_attach q_threshold_dedup q_attach_single q_format_lines q_tm_match q_attach_two_phrase q_node_counts".split()
+QUERIES = "q_count_syn_nodes q_child_num_min q_node_logs q_entry_containment q_wsd_filter q_full_cover_hypernym q_retrieve_sids q_antonym_attach q_hypernym_attach q_threshold_dedup q_attach_single q_format_lines q_tm_match q_attach_two_phrase q_node_counts q_hypernym_recursive".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
