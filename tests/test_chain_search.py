@@ -62,7 +62,7 @@ def test_pieces(monkeypatch):
     """Rows cut anywhere, and components whose starts are dealt out, give the same."""
     import pyarrow as pa
 
-    monkeypatch.setattr(chain_search, "ROWS", 30)
+    monkeypatch.setattr(chain_search, "ROWS", 30)  # several pieces, and parts of a component
     monkeypatch.setattr(chain_search, "WORDS", 7)
     wanted, near = by_hand(), defaultdict(set)
     for a, b in LINKS:
